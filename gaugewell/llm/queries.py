@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from gaugewell.llm import mixing, pii
+from gaugewell.llm import bpe, language, mixing, pii, secrets, token_files
+from gaugewell.sources.shared import new_path
 from gaugewell.sources.tables import table
 
 
+def op1_token_files(spark, sf_dir):
+    path = new_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, end_id=2)
+    return token_files.digest(token_files.read(spark, path))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark, sf_dir):
     return pii.pii_digest(pii.detect_pii(table(spark, sf_dir, "documents")))
 
 
 def queries():
-    return {"op4_mixing": op4_mixing, "op10_pii": op10_pii}
+    own = (op1_token_files, op4_mixing, op5_secrets, op6_bpe, op9_language, op10_pii)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql():
