@@ -106,3 +106,11 @@ def few_at_once(texts: list[str], most_chars: int = 4_000_000):
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of a column, null as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't among columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

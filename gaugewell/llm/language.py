@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.common import bounded_batches, few_at_once, texts_of
+from gaugewell.llm.common import bounded_batches, few_at_once, fresh, texts_of
 
 ORDERS = 4
 SLOTS = 1 << 16
@@ -140,7 +140,6 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
     bounded_batches(df.sparkSession)
     kept = list(df.columns if keep is None else keep)
     languages, matrix = model
-    ours = ["__text", "__lang", "__score"]
     schema = df.select(*[F.col(f"`{c}`") for c in kept])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
 
@@ -153,7 +152,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(p, pa.float64())], names=[*kept, *names])
 
     # the text goes last under a name of its own
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(ours[0])).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(fresh(kept, "text"))).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugewell.llm import bpe, language, mixing, pii, secrets, token_files
+from gaugewell.llm import bpe, language, mixing, near_dups, pii, secrets, token_files
 from gaugewell.sources.shared import new_path
 from gaugewell.sources.tables import table
 
@@ -13,6 +13,10 @@ def op1_token_files(spark, sf_dir):
     return token_files.digest(token_files.read(spark, path))
 
 
+def op3_near_dups(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,8 +37,14 @@ def op10_pii(spark, sf_dir):
     return pii.pii_digest(pii.detect_pii(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    own = (op1_token_files, op4_mixing, op5_secrets, op6_bpe, op9_language, op10_pii)
+    own = (op1_token_files, op3_near_dups, op4_mixing, op5_secrets, op6_bpe, op9_language, op10_pii, pipeline)
     return {f.__name__: f for f in own}
 
 
