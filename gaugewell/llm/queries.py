@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugewell.llm import bpe, language, mixing, near_dups, pii, secrets, token_files
+from gaugewell.llm import ann, bpe, cap_join, language, mixing, near_dups, pii, secrets, token_files
 from gaugewell.sources.shared import new_path
 from gaugewell.sources.tables import table
 
@@ -13,6 +13,10 @@ def op1_token_files(spark, sf_dir):
     return token_files.digest(token_files.read(spark, path))
 
 
+def op2_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op3_near_dups(spark, sf_dir):
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op6_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_links(spark, sf_dir):
+    return cap_join.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -44,9 +52,9 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    own = (op1_token_files, op3_near_dups, op4_mixing, op5_secrets, op6_bpe, op9_language, op10_pii, pipeline)
+    own = (op1_token_files, op2_nearest, op3_near_dups, op4_mixing, op5_secrets, op6_bpe, op7_embedding_links, op9_language, op10_pii, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {"op4_mixing": mixing.oracle(), "op10_pii": pii.oracle()}
+    return {"op4_mixing": mixing.oracle(), "op7_embedding_links": cap_join.oracle(), "op10_pii": pii.oracle()}
