@@ -295,7 +295,7 @@ def _codec(spec: str):
     if key not in _CODECS:
         codec = BpeCodec(spec)
 
-        def value(chunks):
+        def value(chunks, known):
             return [(len(i), " ".join(map(str, i)), codec.label(i), np.array(i, dtype="<u4").tobytes()) if i else None for i in codec.encode_chunks(chunks)]
 
         _CODECS[key] = (codec, ChunkValues(value, codec.lower, list(codec.special), 250_000))
@@ -321,7 +321,9 @@ def _encoded(df, tokenizer, id_col, text_col, digests):
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in few_at_once(texts, 1_000_000):
-                per_text = [[v for v in vs if v] for vs in values(texts[a:b])]
+                some, which, starts = values(texts[a:b])
+                every, at = list(map(some.__getitem__, which.tolist())), starts.tolist()
+                per_text = [[v for v in every[i:j] if v] for i, j in zip(at, at[1:])]
                 first = batch.column(0).slice(a, b - a)
                 decoded = [" ".join([v[2] for v in vs]) for vs in per_text]
                 if digests:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Rows and bytes of an Arrow batch: bounds what a Python worker holds at once.
@@ -53,42 +55,38 @@ def lowers(spec: dict) -> bool:
 
 
 class ChunkValues:
-    """Values of a text's chunks (what white space separates), computed once per chunk.
+    """Values of texts' chunks (what ASCII white space separates), computed once per chunk.
 
-    value(chunks) gives the values of distinct chunks. The memory is bounded: it is
-    emptied when it holds ``most`` chunks. Texts of Latin letters are put in lower case
-    first where the tokenizer does so; others, and those that spell a special token,
-    keep their chunks as they are.
+    value(chunks, known) gives the values of distinct chunks that aren't known. The
+    memory is bounded: it is emptied when it holds ``most`` chunks. Texts of Latin
+    letters are put in lower case first where the tokenizer does so; others, whose lower
+    case may depend on context, and those that spell a special token keep their chunks.
     """
 
-    #: Beyond these, lower case may depend on context; \x1c-\x1f are white space to Python alone.
-    _OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
+    _OTHER = re.compile("[\u0250-\U0010ffff]")
 
-    def __init__(self, value, lower: bool, specials: list[str], most: int = 400_000):
+    def __init__(self, value, lower: bool, specials: list[str], most: int):
         self.value, self.lower, self.most = value, lower, most
         self.specials = [s.lower() for s in specials]
         self.known: dict[str, object] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        if self._OTHER.search(text):
-            return [c for c in text.split(" ") if c]
-        low = text.lower() if self.lower else text
-        if any(s in text.lower() for s in self.specials) if not self.lower else any(s in low for s in self.specials):
-            return [c for c in text.split(" ") if c]
-        return low.split()
+    def _plain(self, text: str) -> str:
+        if not self.lower or self._OTHER.search(text):
+            return text
+        low = text.lower()
+        return text if any(s in low for s in self.specials) else low
 
-    def __call__(self, texts: list[str]) -> list[list]:
+    def __call__(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Values of the distinct chunks, the number of each chunk's value, and where each text's chunks begin (one more entry than texts)."""
         if len(self.known) > self.most:
             self.known = {}
-        known, per_text, new = self.known, [], set()
-        for text in texts:
-            per_text.append(chunks := self.chunks(text))
-            new |= set(chunks).difference(known)
+        split = pc.ascii_split_whitespace(pa.array([self._plain(t) for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.known]
         if new:
-            new = list(new)
-            known.update(zip(new, self.value(new)))
-        get = known.__getitem__
-        return [list(map(get, chunks)) for chunks in per_text]
+            self.known.update(zip(new, self.value(new, self.known)))
+        return list(map(self.known.__getitem__, chunks)), coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
 
 
 def few_at_once(texts: list[str], most_chars: int = 4_000_000):

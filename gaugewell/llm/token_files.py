@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -75,29 +76,43 @@ def _encoder(spec: str):
         ends[[i for t, i in tokenizer.get_vocab(True).items() if t.endswith(suffix)]] = True
     specials = [t["content"] for t in parsed["added_tokens"]]
 
-    def value(chunks: list[str]) -> list[bytes]:
-        known: dict[str, bytes] = {}
-
-        def encode(some: list[str]) -> None:
-            words = [c for c in some if suffix and c.isalpha()]
-            if words:  # a word of letters ends with its only end-of-word id: many words in one call
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=kind)
-                at = np.flatnonzero(ends[ids]) + 1
-                if len(at) == len(words):
-                    raw, k = ids.tobytes(), kind.itemsize
-                    known.update(zip(words, (raw[a * k : b * k] for a, b in zip([0, *at[:-1].tolist()], at.tolist()))))
-                else:
-                    known.update(zip(words, ids_of(words)))
-            rest = [c for c in some if c not in known]
-            known.update(zip(rest, ids_of(rest)))
+    # lower-case letters up to U+024F are left as they are by NFC, and are one word each
+    from tokenizers import normalizers, pre_tokenizers
 
-        # a word and the full stop or comma after it are encoded apart
-        cut = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in ".," and c[:-1].isalpha()}
-        encode(list({*(c for c in chunks if c not in cut), *cut.values(), ".", ","}))
-        return [known[cut[c]] + known[c[-1]] if c in cut else known[c] for c in chunks]
+    bare = Tokenizer.from_str(spec)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    plain = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch if suffix else lambda c: None
 
-    values = ChunkValues(value, lowers(parsed), specials)
-    _ENCODERS[key] = (kind, size, lambda texts: [b"".join(v) for v in values(texts)])
+    def value(chunks: list[str], known: dict) -> list[bytes]:
+        # the empty chunk, before leading and after trailing white space, has no ids
+        own: dict[str, bytes] = {}
+        # a word and the full stop or comma after it are encoded apart
+        cut = {c: c[:-1] for c in chunks if c[-1:] in (".", ",") and plain(c[:-1])}
+        words = list({c for c in chunks if plain(c)}.union(c for c in cut.values() if c not in known))
+        if words:  # a word of letters ends with its only end-of-word id: many words in one call
+            ids = np.array(bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=kind)
+            at = (np.flatnonzero(ends[ids]) + 1).tolist()
+            raw, k = ids.tobytes(), kind.itemsize
+            own.update(zip(words, [raw[a * k : b * k] for a, b in zip([0, *at[:-1]], at)] if len(at) == len(words) else ids_of(words)))
+        rest = [c for c in chunks if c not in own and c not in cut] + [".", ","]
+        own.update(zip(rest, ids_of(rest)))
+        return [(own.get(cut[c]) or known[cut[c]]) + own[c[-1]] if c in cut else own[c] for c in chunks]
+
+    values = ChunkValues(value, lowers(parsed), specials, 800_000)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        some, which, starts = values(texts)
+        flat = np.frombuffer(b"".join(some), dtype=kind)
+        sizes = np.array(list(map(len, some)), dtype=np.int64) // kind.itemsize
+        first = np.cumsum(sizes) - sizes
+        sizes = sizes[which]
+        ends_ = np.concatenate(([0], np.cumsum(sizes)))
+        raw = flat[np.repeat(first[which] - ends_[:-1], sizes) + np.arange(ends_[-1])].tobytes()
+        at = (ends_[starts] * kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    _ENCODERS[key] = (kind, size, encode)
     return _ENCODERS[key]
 
 
