@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugewell.llm import ann, bpe, cap_join, language, mixing, near_dups, pii, secrets, token_files
+from gaugewell.llm import ann, bpe, cap_join, language, lm_score, mixing, near_dups, pii, secrets, token_files
 from gaugewell.sources.shared import new_path
 from gaugewell.sources.tables import table
 
@@ -37,6 +37,11 @@ def op7_embedding_links(spark, sf_dir):
     return cap_join.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm_score(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
 def op9_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    own = (op1_token_files, op2_nearest, op3_near_dups, op4_mixing, op5_secrets, op6_bpe, op7_embedding_links, op9_language, op10_pii, pipeline)
+    own = (op1_token_files, op2_nearest, op3_near_dups, op4_mixing, op5_secrets, op6_bpe, op7_embedding_links, op8_lm_score, op9_language, op10_pii, pipeline)
     return {f.__name__: f for f in own}
 
 

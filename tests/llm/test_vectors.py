@@ -112,10 +112,9 @@ def plain_nearest(rows, ids, k=5):
 
 def test_recall_on_a_table_of_several_chunks(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 700)
-    monkeypatch.setattr(ann, "RERANK", 28)  # the production share of a chunk
     docs = table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = [(r.vec_id, list(r.embedding)) for r in docs.collect()]
-    got = ann.nearest(docs, "vec_id % 50 = 0").collect()
+    got = ann.nearest(docs, "vec_id % 50 = 0", rerank=ann.RERANK * 700 // 8192).collect()  # the production share of a chunk
     want = plain_nearest(rows, [i for i, _ in rows if i % 50 == 0])
     assert len(got) == 5 * len(want)
     hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
