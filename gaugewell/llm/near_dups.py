@@ -14,8 +14,10 @@ the probability of their similarity.
    pairs: as many links as members.
 3. Proposed pairs are verified on the shingles themselves (>= THRESHOLD).
 4. In the buckets that still join different components, all pairs across components
-   whose estimate is within MARGIN of the threshold are verified too. No candidate that
-   could join two components is left out.
+   whose estimate is within MARGIN of the threshold are verified too, inside the bucket's
+   units: their members, not the pairs, are dealt out with their shingles, a pair is
+   verified in the first band that it shares, and pairs that earlier ones have joined are
+   passed over. No candidate that could join two components is left out.
 5. Components of the verified links are the groups.
 
 Words are runs of characters other than ASCII white space, in lower case. Defined
@@ -246,33 +248,24 @@ def _forest(similar: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _proposals(units: DataFrame, across: bool) -> DataFrame:
-    """Pairs (a, b), a < b, worth verifying, of rows (unit, rep, registers, component) dealt and sorted by unit."""
+def _proposals(units: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, worth verifying: a forest of each unit of _units()."""
     least = THRESHOLD - MARGIN
 
     def run(batches):
         for table, start in groups_in(batches):
-            reps = table.column(1).to_numpy()
-            registers = np.frombuffer(b"".join(table.column(2).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-            component = table.column(3).to_numpy()
+            reps, registers = table.column("rep").to_numpy(), _registers(table)
             a, b = [], []
             size = np.diff(start)
             two = start[:-1][size == 2]
             if len(two):  # most buckets: all at once
-                two = two[((registers[two] == registers[two + 1]).mean(axis=1) >= least) & (component[two] != component[two + 1])]
+                two = two[(registers[two] == registers[two + 1]).mean(axis=1) >= least]
                 a += reps[two].tolist()
                 b += reps[two + 1].tolist()
             for i, n in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                own, comp = reps[i : i + n], component[i : i + n]
-                similar = _estimates(registers[i : i + n])
-                if across:
-                    x, y = np.nonzero(np.triu((similar >= least) & (comp[:, None] != comp[None, :]), 1))
-                    a += own[x].tolist()
-                    b += own[y].tolist()
-                else:
-                    pairs = _forest(similar, least)
-                    a += [int(own[x]) for x, _ in pairs]
-                    b += [int(own[y]) for _, y in pairs]
+                pairs = _forest(_estimates(registers[i : i + n]), least)
+                a += [int(reps[i + x]) for x, _ in pairs]
+                b += [int(reps[i + y]) for _, y in pairs]
             a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
             some = a != b
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[some]), pa.array(np.maximum(a, b)[some])], names=["a", "b"])
@@ -280,31 +273,106 @@ def _proposals(units: DataFrame, across: bool) -> DataFrame:
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
+def _registers(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+
+
 def _units(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members (band, rep, n, component) of buckets of n, dealt into pairs of blocks."""
+    """Members (band, rep, n, component) of buckets of n, dealt into pairs of blocks and sorted by unit."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
     dealt = dealt.select("band", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     unit = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(unit.alias("unit"), "rep", "component").join(reps.select("rep", "registers"), "rep")
-    return dealt.select("unit", "rep", "registers", "component").repartition("unit").sortWithinPartitions("unit")
+    dealt = dealt.select(unit.alias("unit"), "band", "rep", "component").join(reps.select("rep", "registers", "bands"), "rep")
+    return dealt.select(*_UNIT).repartition("unit").sortWithinPartitions("unit")
+
+
+_UNIT = ["unit", "band", "rep", "component", "registers", "bands"]
+_UNIT_TYPES = "unit long, band long, rep long, component long, registers binary, bands array<long>"
+
+
+def _open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a unit's pairs across components whose estimate may reach the threshold, the likeliest first; each pair in the first band that it shares only."""
+    component, band = group.column("component").to_numpy(), group.column("band")[0].as_py()
+    if (component == component[0]).all():
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    similar = _estimates(_registers(group))
+    x, y = np.nonzero(np.triu((similar >= THRESHOLD - MARGIN) & (component[:, None] != component[None, :]), 1))
+    bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)
+    first = np.concatenate([np.zeros(0, dtype=bool), *[bands[x[k : k + 65536], (bands[x[k : k + 65536]] == bands[y[k : k + 65536]]).argmax(axis=1)] == band for k in range(0, len(x), 65536)]]).astype(bool)
+    x, y = x[first], y[first]
+    order = np.argsort(-similar[x, y], kind="stable")
+    return x[order], y[order]
+
+
+def _groups(batches):
+    for table, start in groups_in(batches):
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), table.num_rows]):
+            if j - i > 1:
+                yield table.slice(i, j - i)
+
+
+def _open_members(units: DataFrame) -> DataFrame:
+    """The rows of _units() that have an open pair there."""
+
+    def run(batches):
+        for group in _groups(batches):
+            x, y = _open_pairs(group)
+            if len(x):
+                yield from group.take(np.unique(np.concatenate([x, y]))).combine_chunks().to_batches()
+
+    return units.mapInArrow(run, _UNIT_TYPES)
+
+
+def _links_inside(units: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of a unit; rows of _open_members() with h and w, sorted by unit."""
+
+    def run(batches):
+        for group in _groups(batches):
+            x, y = _open_pairs(group)
+            reps, component = group.column("rep").to_numpy(), group.column("component").to_pylist()
+            parent = {c: c for c in component}
+
+            def root(c):
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            sets = [_weighted(h, w) for h, w in zip(group.column("h").to_pylist(), group.column("w").to_pylist())]
+            a, b = [], []
+            for i, j in zip(x.tolist(), y.tolist()):
+                p, q = root(component[i]), root(component[j])
+                if p != q and probability_jaccard(*sets[i], *sets[j]) >= THRESHOLD - 1e-12:
+                    parent[p] = q
+                    a.append(min(reps[i], reps[j]))
+                    b.append(max(reps[i], reps[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long").distinct()
+
+
+def _weighted(h: bytes, w: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of a row of weighted_sets()."""
+    h = np.frombuffer(h, dtype=np.uint64)
+    return h, np.ones(len(h)) if w is None else np.frombuffer(w, dtype="<u4").astype(np.float64)
+
+
+def _sets_of(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """weighted_sets() of the texts that reps (rep) name; texts: (rep, text)."""
+    return materialise(weighted_sets(texts.join(reps.distinct(), "rep", "left_semi"), "rep", "text").dropDuplicates(["rep"]), "near-sets")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches THRESHOLD; texts: (rep, text)."""
-    wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
-    sets = materialise(weighted_sets(texts.join(wanted, "rep", "left_semi"), "rep", "text"), "near-sets")
+    """The pairs (a, b) whose similarity reaches THRESHOLD."""
+    sets = _sets_of(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")), texts)
     left = sets.select(F.col("rep").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1"))
     right = sets.select(F.col("rep").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"))
 
     def run(batches):
-        load = lambda x, n: np.ones(n) if x is None else np.frombuffer(x, dtype="<u4").astype(np.float64)
         for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                h1, h2 = (np.frombuffer(batch.column(c)[k].as_buffer(), dtype=np.uint64) for c in (2, 4))
-                w1, w2 = load(batch.column(3)[k].as_py(), len(h1)), load(batch.column(5)[k].as_py(), len(h2))
-                keep.append(probability_jaccard(h1, w1, h2, w2) >= THRESHOLD - 1e-12)
+            h1, w1, h2, w2 = (batch.column(c).to_pylist() for c in ("h1", "w1", "h2", "w2"))
+            keep = [probability_jaccard(*_weighted(a, b), *_weighted(c, d)) >= THRESHOLD - 1e-12 for a, b, c, d in zip(h1, w1, h2, w2)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(run, "a long, b long").distinct()
@@ -324,15 +392,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = materialise(members, "near-members")
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
 
-    first = materialise(_proposals(_units(members.withColumn("component", F.col("rep")), reps), False), "near-first")
+    first = materialise(_proposals(_units(members.withColumn("component", F.col("rep")), reps)), "near-first")
     links = materialise(_verified(first, texts), "near-links")
     found = connected_components(links)
     # buckets of two are settled; of the others, those that join components that differ
     grouped = members.where("n > 2").join(found.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     in_band = Window.partitionBy("band")
     unsettled = grouped.select("*", (F.min("component").over(in_band) != F.max("component").over(in_band)).alias("open")).where("open")
-    second = _proposals(_units(unsettled, reps), True).join(first, ["a", "b"], "left_anti")
-    more = materialise(_verified(materialise(second, "near-second"), texts), "near-more")
+    open_ = materialise(_open_members(_units(unsettled, reps)), "near-open")
+    sets = _sets_of(open_.select("rep"), texts)
+    more = materialise(_links_inside(open_.join(sets, "rep").select(*_UNIT, "h", "w").repartition("unit").sortWithinPartitions("unit")), "near-more")
     # what the first links joined stands as links to the least vertex of each component
     found = connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionAll(more))
 
