@@ -64,24 +64,27 @@ def fit(bits: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix (SLOTS x languages) that takes a presence row over the root of its sum to the values."""
     languages = sorted(set(labels))
     y = np.array([[1.0 if l == k else -1.0 for k in languages] for l in labels])
-    x = bits.astype(np.float64)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    size = np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1)).astype(np.float64)
     seen: dict[str, int] = {}
     at = []
     for i, l in enumerate(labels):
         seen[l] = seen.get(l, 0) + 1
         if seen[l] <= LANDMARKS:
             at.append(i)
-    marks = x[at]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = bits[at].astype(np.float32)
+    # counts of shared n-grams are exact in single precision; a few rows at once bound the memory
+    shared = np.concatenate([bits[a : a + BLOCK].astype(np.float32) @ marks.T for a in range(0, len(bits), BLOCK)]).astype(np.float64)
+    kernel = shared / (size[:, None] * size[at])
+    values, vectors = np.linalg.eigh(kernel[at])
     good = values > 1e-9 * max(values.max(initial=0), 1e-9)
     to_features = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ marks.T) @ to_features
+    phi = kernel @ to_features
     # languages weigh alike, however many texts each has
     weight = np.array([1 / seen[l] for l in labels])[:, None]
     phi1 = np.hstack([phi, np.ones((len(phi), 1))])
     solve = np.linalg.solve(phi1.T @ (phi1 * weight) + RIDGE * np.eye(phi1.shape[1]), phi1.T @ (y * weight))
-    return languages, np.vstack([marks.T @ (to_features @ solve[:-1]), solve[-1:]]).astype(np.float32)
+    of_marks = (to_features @ solve[:-1]) / size[at][:, None]
+    return languages, np.vstack([marks.T @ of_marks.astype(np.float32), solve[-1:].astype(np.float32)])
 
 
 def _held_out(id_col: str):
