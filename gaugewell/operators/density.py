@@ -171,7 +171,7 @@ class DensityEstimate(Analyzer):
 
         spark, (n, d) = self.df.sparkSession, z.shape
         data = spark.createDataFrame([(r,) for r in z.tolist()], "a array<double>").select(array_to_vector("a").alias("features"))
-        data = materialise(data, "gmm-sample")
+        data = data.repartition(max(1, n // 10_000)).cache()  # bounded by sample_for_fit, and read once an iteration
         best = None
         for k in [self.n_components] if self.n_components else range(1, max(1, min(self.max_components, n - 1)) + 1):
             if k == 1:
@@ -184,6 +184,7 @@ class DensityEstimate(Analyzer):
             self.bic[k] = -2 * likelihood + math.log(n) * (k * d + k * d * (d + 1) / 2 + k - 1)
             if best is None or self.bic[k] < best[0]:
                 best = (self.bic[k], w, m, c)
+        data.unpersist()
         return best[1:]
 
     # scoring
