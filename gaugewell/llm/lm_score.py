@@ -129,7 +129,7 @@ def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     words = vocabulary(docs, "text", size)
     chosen = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct()
-    marked = docs.join(chosen, F.col("id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("target"))
+    marked = docs.join(chosen.hint("merge"), F.col("id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("target"))
     paired = min(paired, len(words))
     every, target = count(marked, words, paired)
     tokens = target[: len(words) + 1].sum()
