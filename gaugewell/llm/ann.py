@@ -5,10 +5,14 @@ full-dimensional codebooks, found by a beam search that goes from codebook to co
 with the BEAM best partial sums. The codebooks are fitted on a bounded sample (SAMPLE
 vectors, by the smallest hashes of their ids): residual k-means, then rounds of beam
 encoding and refitting each codebook to what the others leave. The index holds codes
-and the norms of the sums, of every row. A query is scored against a chunk of the index
-through a table of its products with all codewords, divided by the stored norms; the
-RERANK best of every chunk are ranked again by the cosine of the original vectors in
-double precision, so a small chunk is answered exactly.
+the norms of the sums and the quantisation errors, of every distinct direction with its
+k + 1 smallest ids: equal vectors are one row of it. A query is scored against a chunk
+of the index through a table of its products with all codewords, divided by the stored
+norms. The RERANK best of every chunk are ranked by the cosine of the original vectors
+in double precision, which gives the k-th cosine so far; no row's cosine is above its
+approximate score by more than its quantisation error, and every row that may still
+reach the k-th cosine is ranked too. So every chunk is answered exactly, whatever the
+codes don't tell apart; RERANK sets the work, not the result.
 
 Queries meet the index in blocks: blocks of queries are dealt to every chunk.
 
@@ -38,6 +42,8 @@ REFITS = 2
 CHUNK = 8192
 QUERY_BLOCK = 256
 RERANK = 320
+#: More than sums of single precision are off by.
+ROUNDING = 1e-5
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -103,43 +109,90 @@ def sums_norm(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.sqrt((s * s).sum(axis=1)).astype(np.float32)
 
 
-def search_chunk(queries, query_ids, ids, codes, norms, vectors, books, k, rerank):
-    """The k nearest in a chunk of each query: (query position, id, cosine)."""
+def error_bound(x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """What a row's approximate score may be off by: the distance to its normalised sum, and the rounding of single precision."""
+    norms = np.maximum(norms.astype(np.float64), 1e-12)
+    s = sum(books[m][codes[:, m]] for m in range(len(books))) / norms[:, None]
+    return np.sqrt(((x - s) ** 2).sum(axis=1)) + ROUNDING * (1 + 1 / norms)
+
+
+def _cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Row by row, so that a row's value doesn't depend on the rows beside it."""
+    return (vectors * query).sum(axis=1)
+
+
+def search_chunk(queries, query_ids, ids, codes, norms, errors, vectors, books, k, rerank):
+    """The k nearest ids in a chunk of each query: (query position, id, cosine). ids: a class's ids in order, (n, k + 1), filled up with the last."""
     tables = np.einsum("qd,mwd->mqw", queries, books).astype(np.float32)
     scores = np.zeros((len(queries), len(ids)), dtype=np.float32)
     for m in range(len(books)):
         scores += tables[m][:, codes[:, m]]
     scores /= np.maximum(norms, 1e-12)
-    scores[query_ids[:, None] == ids[None, :]] = -np.inf
+    scores[(query_ids[:, None] == ids[None, :, 0]) & (query_ids[:, None] == ids[None, :, -1])] = -np.inf
     r = min(rerank, len(ids))
     near = np.argpartition(-scores, r - 1, axis=1)[:, :r]
+    products = None
     out_q, out_id, out_s = [], [], []
     for q in range(len(queries)):
-        at = near[q][ids[near[q]] != query_ids[q]]
-        exact = vectors[at] @ queries[q]
-        order = np.lexsort((ids[at], -exact))[:k]
+        at = near[q][scores[q][near[q]] > -np.inf]
+        if len(at) < len(ids):
+            sure = np.sort(_cosines(vectors[at], queries[q]))[-k:]
+            least = sure[0] if len(sure) == k else -np.inf
+            at = np.flatnonzero((scores[q] > -np.inf) & (scores[q] + errors >= least))
+            if len(at) > 2 * rerank:
+                if products is None:
+                    products = queries @ vectors.T
+                at = at[products[q][at] >= least - 1e-12]
+        exact = _cosines(vectors[at], queries[q])
+        if len(at) > k:
+            some = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+            at, exact = at[some], exact[some]
+        each, exact = ids[at].ravel(), np.repeat(exact, ids.shape[1])
+        order = np.lexsort((each, -exact))
+        order = order[each[order] != query_ids[q]]
+        order = order[np.sort(np.unique(each[order], return_index=True)[1])][:k]  # an id once, at its best
         out_q += [q] * len(order)
-        out_id += ids[at][order].tolist()
+        out_id += each[order].tolist()
         out_s += exact[order].tolist()
     return out_q, out_id, out_s
 
 
-def _chunks(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """The index: rows (chunk, ids, codes, norms, vectors) of CHUNK vectors at most."""
+def _classes(vectors: DataFrame, k: int) -> DataFrame:
+    """Rows (ids, v): the distinct vectors, each with its k + 1 smallest ids in order."""
+    first = Window.partitionBy("v").orderBy("vec_id")
+    some = vectors.distinct().select("vec_id", "v", F.row_number().over(first).alias("at")).where(F.col("at") <= k + 1)
+    return some.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "v")
+
+
+def _units(vectors: DataFrame) -> DataFrame:
+    """Rows (vec_id, v) with v of length 1."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(matrix(batch.column(1))) + 0.0  # one zero
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "v"])
+
+    return vectors.mapInArrow(run, "vec_id long, v binary")
+
+
+def _chunks(classes: DataFrame, books: np.ndarray, k: int) -> DataFrame:
+    """The index of classes (ids, v): rows (ids, codes, norms, errors, vectors) of CHUNK vectors at most."""
 
     def run(batches):
         ids, vs, held = [], [], 0
 
         def row():
-            x = unit(np.concatenate(vs))
+            x = np.concatenate(vs)
             codes = encode(x, books)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b"".join(i.tobytes() for i in ids)], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([sums_norm(codes, books).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
-                names=["ids", "codes", "norms", "vectors"],
-            )
+            norms = sums_norm(codes, books)
+            columns = (np.concatenate(ids), codes, norms, error_bound(x, codes, norms, books), x)
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "codes", "norms", "errors", "vectors"])
 
         for batch in batches:
-            ids.append(batch.column(0).to_numpy().astype("<i8"))
+            if not batch.num_rows:
+                continue
+            ids.append(np.array([i + i[-1:] * (k + 1 - len(i)) for i in batch.column(0).to_pylist()], dtype="<i8"))
             vs.append(matrix(batch.column(1)))
             held += batch.num_rows
             if held >= CHUNK:
@@ -148,7 +201,7 @@ def _chunks(vectors: DataFrame, books: np.ndarray) -> DataFrame:
         if held:
             yield row()
 
-    return vectors.mapInArrow(run, "ids binary, codes binary, norms binary, vectors binary")
+    return classes.mapInArrow(run, "ids binary, codes binary, norms binary, errors binary, vectors binary")
 
 
 def _blocks(queries: DataFrame) -> DataFrame:
@@ -158,7 +211,7 @@ def _blocks(queries: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, QUERY_BLOCK):
                 some = batch.slice(a, QUERY_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([unit(matrix(some.column(1))).tobytes()], pa.binary())], names=["q_ids", "q_vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(some.column(1)).tobytes()], pa.binary())], names=["q_ids", "q_vectors"])
 
     return queries.mapInArrow(run, "q_ids binary, q_vectors binary")
 
@@ -166,16 +219,17 @@ def _blocks(queries: DataFrame) -> DataFrame:
 def nearest(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """The k nearest rows of every row for which ``queries`` (a condition on vec_id) holds: query_id, rank, vec_id, score."""
     spark = df.sparkSession
-    vectors = materialise(usable(df, id_col, vector_col).where("vec_id IS NOT NULL"), "ann-vectors")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).collect()
+    vectors = materialise(_units(usable(df, id_col, vector_col).where("vec_id IS NOT NULL")), "ann-vectors")
+    classes = materialise(_classes(vectors, k), "ann-classes")
+    sample = classes.orderBy(F.xxhash64(F.col("ids")[0]), "v").limit(SAMPLE).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
         return empty
     d = len(sample[0]["v"]) // 8
-    books = fit(unit(np.frombuffer(b"".join(r["v"] for r in sample), dtype="<f8").reshape(-1, d)))
+    books = fit(np.frombuffer(b"".join(r["v"] for r in sample), dtype="<f8").reshape(-1, d))
 
-    n = vectors.count()
-    index = materialise(_chunks(vectors.repartition(-(-n // CHUNK), F.xxhash64("vec_id", "v")), books), "ann-index")
+    n = classes.count()
+    index = materialise(_chunks(classes.repartition(-(-n // CHUNK), F.xxhash64("v")), books, k), "ann-index")
     index = index.select(F.xxhash64("ids").alias("chunk"), "*")
     asked = vectors.where(queries)
     n_asked = asked.count()
@@ -189,16 +243,16 @@ def nearest(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_c
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["q_ids"], dtype="<i8")
+                ids, q_ids = np.frombuffer(row["ids"], dtype="<i8").reshape(-1, k + 1), np.frombuffer(row["q_ids"], dtype="<i8")
                 codes = np.frombuffer(row["codes"], dtype=np.uint8).reshape(len(ids), -1)
                 vs, qs = np.frombuffer(row["vectors"], dtype="<f8").reshape(len(ids), d), np.frombuffer(row["q_vectors"], dtype="<f8").reshape(len(q_ids), d)
-                q, near, score = search_chunk(qs, q_ids, ids, codes, np.frombuffer(row["norms"], dtype=np.float32), vs, books, k, rerank)
+                q, near, score = search_chunk(qs, q_ids, ids, codes, np.frombuffer(row["norms"], dtype=np.float32), np.frombuffer(row["errors"], dtype="<f8"), vs, books, k, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(near, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
     # a joined row holds a chunk: few to a batch
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    found = materialise(index.join(dealt, "chunk").select("ids", "codes", "norms", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
+    found = materialise(index.join(dealt, "chunk").select("ids", "codes", "norms", "errors", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
     bounded_batches(spark)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"])
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

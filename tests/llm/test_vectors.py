@@ -128,6 +128,18 @@ def test_recall_on_a_table_of_several_chunks(spark, monkeypatch):
         assert [r.rank for r in own] == [1, 2, 3, 4, 5] and own == sorted(own, key=lambda r: (-r.score, r.vec_id))
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-5])
+def test_recall_in_a_hot_group(spark, monkeypatch, noise):
+    monkeypatch.setattr(ann, "CHUNK", 700)
+    rnd = np.random.default_rng(6)
+    hot = unit(rnd.standard_normal((1, 64)))[0]
+    rows = [(i, (hot + noise * rnd.standard_normal(64) if i % 3 == 0 else rnd.standard_normal(64)).tolist()) for i in range(3000)]
+    want = plain_nearest(rows, range(0, 3000, 50))
+    got = ann.nearest(frame(spark, rows), "vec_id % 50 = 0", rerank=27).collect()
+    hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+    assert hits == len(got) == 5 * len(want), hits / len(got)
+
+
 def test_small_table_is_exact(spark, sf):
     docs = table(spark, sf, "embeddings")
     rows = [(r.vec_id, list(r.embedding)) for r in docs.collect()]
