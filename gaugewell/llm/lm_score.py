@@ -1,16 +1,19 @@
 """Language-model scoring: cross-entropy difference of two matched n-gram models.
 
 A target model (documents that ``target`` names) and a background model (all documents)
-share one vocabulary, the VOCABULARY words with the highest counts over all documents;
-other words are one unknown word. Both are bigram models interpolated with unigrams,
-smoothed alike, and the background's counts are scaled to the target's number of tokens,
-so that neither gains by its size. A document's score is the mean over its tokens of
--log p_target + log p_background: the lower, the closer to the target.
-
-Bigrams are over classes: each of the PAIRED most frequent words is one, all others are
-one more; a word's probability is its class's after the class before it, times its share
-of its class. Both tables have a fixed size, whatever the input, and are counted exactly
-over all documents; each task sends its sums, so what is gathered grows with the input.
+share one vocabulary: every word of the documents, and one unknown word. Both are bigram
+models interpolated with unigrams, smoothed alike, and the background's counts are scaled
+to the target's number of tokens, so that neither gains by its size. A document's score
+is the mean over its tokens of -log p_target + log p_background: the lower, the closer
+to the target.
+
+Bigrams are of words (the context is the word before, or the start), counted exactly over
+all documents in a distributed table that grows with the corpus. Documents are read once:
+each chunk of texts gives its distinct bigrams, each with the texts that hold it; they
+are joined to the table's losses and summed by text. ``size`` and ``paired`` bound the
+model where asked: words beyond the ``size`` most frequent are unknown, and bigrams are
+over the classes of the ``paired`` most frequent words and one of all others; a word's
+probability is its class's after the class before it, times its share of its class.
 
 Words are runs of characters other than ASCII white space, in lower case, without the
 marks around them. Defined results: a text without words (or null) has no tokens and null
@@ -21,21 +24,31 @@ an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.common import bounded_batches, few_at_once, texts_of
+from gaugewell.sources.shared import materialise
 
-VOCABULARY = 32_768
-PAIRED = 512
+#: No bounds: every word, and every pair of words.
+VOCABULARY = sys.maxsize
+PAIRED = sys.maxsize
 BIGRAM_WEIGHT = 0.6
 ADDED = 0.5
 #: Words that a task holds before it sends their counts.
 HELD_WORDS = 300_000
+#: Characters of the texts whose bigrams are counted together, and bigrams of an Arrow batch.
+CHUNK_CHARS = 4_000_000
+SENT = 20_000
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$"
+#: The unknown word and the class of all others: no word holds a space. The start is ''.
+OTHER = " "
 
 
 def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -63,90 +76,97 @@ def vocabulary(df: DataFrame, text_col: str = "text", size: int = VOCABULARY) ->
         yield pack()
 
     counted = df.select(text_col).mapInArrow(run, "w string, n long").where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()]
+    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(min(size, 2**31 - 1)).collect()]
 
 
-def _tokens(texts: list[str], ids: dict[str, int], paired: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, cells of the class bigrams (the context is the class before, or the start), and each one's text."""
+def _grams(texts: list[str], known: set | None, own: set | None):
+    """(context, word, text positions, their counts, ...) of the distinct bigrams of texts, in lists by bigram: contexts, words, offsets, positions, counts; and each text's number of tokens."""
     words, which, starts = words_of(texts)
-    of_word = np.array([ids.get(w, len(ids) if w else -1) for w in words], dtype=np.int64)
+    names, of_word = np.unique(np.array([OTHER if known is not None and w and w not in known else w for w in words], dtype=object), return_inverse=True) if words else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
     token = of_word[which] if len(words) else np.zeros(0, dtype=np.int64)
     text = np.repeat(np.arange(len(texts)), np.diff(starts))
-    kept = token >= 0
+    kept = (names != "")[token] if len(words) else np.zeros(0, dtype=bool)
     token, text = token[kept], text[kept]
-    class_ = np.minimum(token, paired)
-    context = np.where(np.diff(text, prepend=-1) != 0, paired + 1, np.concatenate(([0], class_[:-1])) if len(class_) else class_)
-    return token, context * (paired + 1) + class_, text
+    contexts, of_context = np.unique(np.array(["", *(w if own is None or w in own else OTHER for w in names)], dtype=object), return_inverse=True)
+    before = np.where(np.diff(text, prepend=-1) != 0, of_context[0], of_context[np.concatenate(([0], token[:-1] + 1)) if len(token) else token])
+    cells, cell = np.unique(before * max(len(names), 1) + token, return_inverse=True)
+    held, n = np.unique(cell * len(texts) + text, return_counts=True)
+    offsets = np.searchsorted(held, np.arange(len(cells) + 1) * len(texts))
+    return pa.array(contexts, pa.string()).take(pa.array(cells // max(len(names), 1))), pa.array(names, pa.string()).take(pa.array(cells % max(len(names), 1))), offsets, held % len(texts), n, np.bincount(text, minlength=len(texts))
+
 
+_FIELDS = [("chunk", pa.int64()), ("context", pa.string()), ("word", pa.string()), ("s", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))]
 
-def count(df: DataFrame, words: list[str], paired: int, text_col: str = "text", target_col: str = "target") -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all rows and over target rows: of the words, then of the class bigrams."""
-    ids = {w: i for i, w in enumerate(words)}
-    n = len(words) + 1
-    size = n + (paired + 2) * (paired + 1)
+
+def counted(marked: DataFrame, known: set | None = None, own: set | None = None) -> DataFrame:
+    """Of rows (id, text, target): a row of each chunk's distinct bigrams (chunk, context, word, s, t: the counts in all and in target texts, at: positions of texts, n: their counts), and one of its texts (at, n: their tokens, ids), whose word is null."""
 
     def run(batches):
-        every, target = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, chosen = texts_of(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=bool)
-            for a, b in few_at_once(texts, 2_000_000):
-                token, cell, text = _tokens(texts[a:b], ids, paired)
-                for sums, some in ((every, slice(None)), (target, chosen[a:b][text])):
-                    sums[:n] += np.bincount(token[some], minlength=n)
-                    sums[n:] += np.bincount(cell[some], minlength=size - n)
-        at = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(target[at])], names=["slot", "n", "t"])
-
-    rows = df.select(text_col, target_col).mapInArrow(run, "slot long, n long, t long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    every, target = np.zeros(size), np.zeros(size)
-    at = rows.column("slot").to_numpy()
-    every[at], target[at] = rows.column("n").to_numpy(), rows.column("t").to_numpy()
-    return every, target
-
-
-class Model:
-    """An interpolated class-bigram model of count()'s sums, scaled to ``tokens`` tokens."""
-
-    def __init__(self, sums: np.ndarray, n_words: int, paired: int, tokens: float):
-        n = n_words + 1
-        total = sums[:n].sum()
-        word = sums[:n] * (tokens / total if total else 0.0) + ADDED
-        self.word = word / word.sum()
-        class_ = np.minimum(np.arange(n), paired)
-        of_class = np.bincount(class_, weights=self.word, minlength=paired + 1)
-        self.share = self.word / of_class[class_]
-        cells = sums[n:].reshape(paired + 2, paired + 1)
-        seen = cells.sum(axis=1, keepdims=True)
-        self.cell = np.divide(cells, seen, out=np.tile(of_class, (paired + 2, 1)), where=seen > 0).ravel()
-
-    def loss(self, token, cell) -> np.ndarray:
-        return -np.log(BIGRAM_WEIGHT * self.cell[cell] * self.share[token] + (1 - BIGRAM_WEIGHT) * self.word[token])
+            ids, texts, chosen = batch.column(0).to_pylist(), texts_of(batch.column(1)), np.array(batch.column(2).to_pylist(), dtype=bool)
+            for a, b in few_at_once(texts, CHUNK_CHARS):
+                contexts, words, offsets, at, n, tokens = _grams(texts[a:b], known, own)
+                sums = [np.concatenate(([0], np.cumsum(x)))[offsets] for x in (n, n * chosen[a:b][at])]
+                s, t = (np.diff(x) for x in sums)
+                at, n, size = at.astype(np.int32), n.astype(np.int32), len(words)
+                for c in range(0, size, SENT):
+                    d = min(c + SENT, size)
+                    o = pa.array((offsets[c : d + 1] - offsets[c]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(o, pa.array(x[offsets[c] : offsets[d]])) for x in (at, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(d - c, chunk)), contexts[c:d], words[c:d], pa.array(s[c:d]), pa.array(t[c:d]), *lists, pa.nulls(d - c, pa.list_(pa.int64()))], names=[f for f, _ in _FIELDS])
+                of_texts = ([chunk], [None], [None], [0], [0], [list(range(b - a))], [tokens.tolist()], [ids[a:b]])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(of_texts, _FIELDS)], names=[f for f, _ in _FIELDS])
+                chunk += 1
+
+    return marked.mapInArrow(run, "chunk long, context string, word string, s long, t long, at array<int>, n array<int>, ids array<long>")
+
+
+def losses(grams: DataFrame, n_words: int | None = None, own: list[str] | None = None) -> DataFrame:
+    """(context, word, target_loss, background_loss) of the distinct bigrams (context, word, s, t: their counts)."""
+    words = materialise(grams.groupBy("word").agg(F.sum("s").alias("w_s"), F.sum("t").alias("w_t")), "lm-words")
+    known = words.where(F.col("word") != OTHER).count() if n_words is None else n_words
+    total = words.agg(F.sum("w_s").alias("s"), F.sum("w_t").alias("t")).first()
+    tokens = total["t"] or 0
+    before = grams.groupBy("context").agg(F.sum("s").alias("c_s"), F.sum("t").alias("c_t"))
+    joined = grams.join(words.hint("merge"), "word").join(before.hint("merge"), "context")
+    if own is not None:
+        grams = grams.withColumn("class", F.when(F.col("word").isin(own), F.col("word")).otherwise(OTHER))
+        classes = words.withColumn("class", F.when(F.col("word").isin(own), F.col("word")).otherwise(OTHER)).groupBy("class").agg(F.sum("w_s").alias("k_s"), F.sum("w_t").alias("k_t"))
+        cells = grams.groupBy("context", "class").agg(F.sum("s").alias("b_s"), F.sum("t").alias("b_t"))
+        joined = grams.join(words, "word").join(before, "context").join(classes, "class").join(cells, ["context", "class"])
+        slots = F.when(F.col("class") == OTHER, float(known + 1 - len(own))).otherwise(1.0)
+
+    def loss(x):
+        scale = tokens / total[x] if total[x] else 0.0
+        whole = tokens + ADDED * (known + 1)
+        p1 = (F.col(f"w_{x}") * F.lit(scale) + F.lit(ADDED)) / F.lit(whole)
+        if own is None:
+            cell, class_, share = F.col(x), p1, F.lit(1.0)
+        else:
+            class_ = (F.col(f"k_{x}") * F.lit(scale) + F.lit(ADDED) * slots) / F.lit(whole)
+            cell, share = F.col(f"b_{x}"), p1 / class_
+        p2 = F.when(F.col(f"c_{x}") > 0, cell / F.col(f"c_{x}")).otherwise(class_) * share
+        return -F.log(F.lit(BIGRAM_WEIGHT) * p2 + F.lit(1 - BIGRAM_WEIGHT) * p1)
+
+    return joined.select("context", "word", loss("t").alias("target_loss"), loss("s").alias("background_loss"))
 
 
 def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, paired: int = PAIRED) -> DataFrame:
     """Per row: id, n_tokens, target_loss, background_loss, score. target_ids: one column, the ids of target documents."""
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = vocabulary(docs, "text", size)
+    bounded = min(size, paired) < VOCABULARY
+    known = vocabulary(docs, "text", size) if bounded else None
+    own = known[:paired] if bounded else None
     chosen = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct()
-    marked = docs.join(chosen.hint("merge"), F.col("id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("target"))
-    paired = min(paired, len(words))
-    every, target = count(marked, words, paired)
-    tokens = target[: len(words) + 1].sum()
-    models = Model(target, len(words), paired, tokens), Model(every, len(words), paired, tokens)
-    ids = {w: i for i, w in enumerate(words)}
-
-    def run(batches):
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in few_at_once(texts, 2_000_000):
-                token, cell, text = _tokens(texts[a:b], ids, paired)
-                n = np.bincount(text, minlength=b - a)
-                t, g = (np.bincount(text, weights=m.loss(token, cell), minlength=b - a) / np.maximum(n, 1) for m in models)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (t, g, t - g))],
-                    names=[id_col, "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return docs.mapInArrow(run, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
+    marked = docs.join(chosen.hint("merge"), F.col("id") == F.col("t_id"), "left").select("id", "text", F.col("t_id").isNotNull().alias("target"))
+    found = materialise(counted(marked, set(known) if bounded else None, set(own) if bounded else None), "lm-bigrams")
+    own_grams = found.where("word IS NOT NULL")
+    grams = materialise(own_grams.groupBy("context", "word").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "lm-counts")
+    valued = own_grams.select("chunk", "context", "word", "at", "n").join(losses(grams, len(known) if bounded else None, own).hint("merge"), ["context", "word"])
+    each = valued.select("chunk", "target_loss", "background_loss", F.explode(F.arrays_zip("at", "n")).alias("x"))
+    sums = each.groupBy("chunk", F.col("x.at").alias("at")).agg(*[F.sum(F.col("x.n") * F.col(c)).alias(c) for c in ("target_loss", "background_loss")])
+    texts = found.where("word IS NULL").select("chunk", F.explode(F.arrays_zip("at", "n", "ids")).alias("x")).select("chunk", "x.at", F.col("x.n").cast("long").alias("n_tokens"), F.col("x.ids").alias("__id"))
+    t, g = (F.col(c) / F.col("n_tokens") for c in ("target_loss", "background_loss"))
+    return texts.join(sums.hint("merge"), ["chunk", "at"], "left").select(F.col("__id").alias(id_col), "n_tokens", t.alias("target_loss"), g.alias("background_loss"), (t - g).alias("score"))

@@ -94,3 +94,15 @@ def test_edge(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_score.score(edge, none).count() == edge.count()
     assert lm_score.score(empty, none).count() == 0
+
+
+def test_rare_pairs_count(spark):
+    """Same words, rare ones in another order: only the pairs differ, beyond the most frequent words."""
+    fill = " ".join(f"common{i}" for i in range(600))
+    rows = [(i, f"{fill} {fill} " + ("raree rareu" if i % 2 else "rareu raree")) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = docs.where("doc_id % 2 = 1").select("doc_id")
+    got = {r.doc_id: r.score for r in lm_score.score(docs, target).collect()}
+    assert max(s for i, s in got.items() if i % 2) < min(s for i, s in got.items() if not i % 2) - 1e-6
+    want = plain(rows, {1, 3, 5, 7}, 10**9, 10**9)
+    assert all(got[i] == pytest.approx(want[i][1] - want[i][2], abs=1e-9) for i in got)
