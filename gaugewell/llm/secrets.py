@@ -4,9 +4,16 @@ Known forms (assign, access, hex) are found by patterns over the whole text. For
 rest, strings of KEY characters that follow a sensitive word are candidates; a
 candidate's novelty is what it adds to the compressed size of the code before it, over
 its length. The compressor is primed with a dictionary of the identifiers that most
-documents share (counted over all documents), and the code around the candidate comes
-first in its input, so names that are used elsewhere cost little, and random strings
-their full length. Incompressible candidates are reported as ``novel``.
+distinct texts share (counted over all documents; copies of a text rank as one), and the code
+around the candidate comes first in its input, so names that are used elsewhere cost
+little, and random strings their full length. Incompressible candidates are reported as
+``novel``.
+
+A secret must not prime its own copies: where a string is a candidate, it isn't counted
+as an identifier, and earlier candidates that hold the same string are taken out of the
+code before it. So only use outside sensitive contexts makes a string a name. A string
+that runs on from the sensitive word itself (``access_token_of_the_session``) counts
+with that word as one identifier.
 
 Defined results: a null text counts as empty; rows are answered one by one, so
 repeated rows, ties and null ids don't matter; an empty table gives an empty result;
@@ -38,18 +45,52 @@ NEAR = 48
 #: Code before a candidate that the compressor sees, in characters.
 AROUND = 1024
 NOVELTY = 0.75
-#: Identifiers of the dictionary: those in most documents, of IDENTIFIER's form.
+#: Identifiers of the dictionary: those in most distinct texts, of IDENTIFIER's form.
 IDENTIFIERS = 4096
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{11,63}"
 LEAST_DOCUMENTS = 3
+_IDENTIFIER = re.compile(IDENTIFIER, re.ASCII)
+_INSIDE = re.compile("[A-Za-z0-9_]", re.ASCII)
 _SCANNERS: dict[str, object] = {}
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings of KEY characters that follow a sensitive word, in order."""
+    low, out = text.lower(), []
+    if any(w in low for w in _HINTS):
+        done = -1
+        for m in _SENSITIVE.finditer(text):
+            for c in _KEY.finditer(text, max(m.end(), done)):
+                if c.start() > m.end() + NEAR:
+                    break
+                done = c.end()
+                out.append(c.span())
+    return out
+
+
+def identifiers_of(text: str) -> set[str]:
+    """The identifiers of a text outside its candidates; one that runs on from a sensitive word stays whole."""
+    pieces, done = [], 0
+    for a, b in candidates(text):
+        if a == 0 or not _INSIDE.match(text[a - 1]):
+            pieces.append(text[done:a])
+            done = b
+    pieces.append(text[done:])
+    return {w for p in pieces for w in _IDENTIFIER.findall(p)}
+
+
 def shared_identifiers(df: DataFrame, text_col: str = "text") -> list[str]:
-    """The identifiers in most documents, counted over all of them; IDENTIFIERS at most."""
-    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(IDENTIFIER), F.lit(0)))
-    counted = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(IDENTIFIERS).collect()]
+    """The identifiers in most distinct texts, of those in LEAST_DOCUMENTS rows, counted over all of them; IDENTIFIERS at most."""
+
+    def run(batches):
+        for batch in batches:
+            words = [(w, h) for t, h in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()) for w in identifiers_of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([h for _, h in words], pa.int64())], names=["w", "h"])
+
+    held = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")).mapInArrow(run, "w string, h long")
+    copies = held.groupBy("w", "h").agg(F.count("*").alias("n"))
+    counted = copies.groupBy("w").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    return [r["w"] for r in counted.orderBy(F.desc("texts"), F.desc("n"), "w").limit(IDENTIFIERS).collect()]
 
 
 class Scanner:
@@ -59,9 +100,14 @@ class Scanner:
         data.precompute_compress(level=3)
         self.zstd = zstandard.ZstdCompressor(dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def novelty(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that text[start:end] adds to the text before it, per byte."""
-        before = text[max(0, start - AROUND) : start].encode()
+    def novelty(self, text: str, start: int, end: int, earlier: list[tuple[int, int]] = ()) -> float:
+        """Compressed bytes that text[start:end] adds to the text before it, without the earlier spans that hold it, per byte."""
+        low, pieces = max(0, start - AROUND), []
+        for a, b in earlier:
+            if b > low and (text[start:end] in text[a:b] or text[a:b] in text[start:end]):
+                pieces.append(text[low : max(a, low)])
+                low = b
+        before = "".join([*pieces, text[low:start]]).encode()
         candidate = text[start:end].encode()
         return (len(self.zstd.compress(before + candidate)) - len(self.zstd.compress(before))) / max(1, len(candidate))
 
@@ -74,15 +120,12 @@ class Scanner:
         if "AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
         out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-        if any(w in low for w in _HINTS):
-            done = -1
-            for m in _SENSITIVE.finditer(text):
-                for c in _KEY.finditer(text, max(m.end(), done)):
-                    if c.start() > m.end() + NEAR:
-                        break
-                    done = c.end()
-                    if self.novelty(text, c.start(), c.end()) >= NOVELTY:
-                        out.append((c.start(), 3, c.end()))
+        near: list[tuple[int, int]] = []  # candidates that the code before the next may hold
+        for start, end in candidates(text):
+            near = [x for x in near if x[1] > start - AROUND]
+            if self.novelty(text, start, end, near) >= NOVELTY:
+                out.append((start, 3, end))
+            near.append((start, end))
         return sorted(out)
 
 

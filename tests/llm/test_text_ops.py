@@ -171,6 +171,15 @@ def test_novelty_tells_random_strings_from_names(spark):
     assert [text[s.start : s.end] for s in spans[100] if s.kind == "novel"] == ["Zk3qP9vXw71LmT0bRy5N8dQe"]
 
 
+def test_novelty_finds_copied_secrets(spark):
+    key, other = "qZkPvXwLmTbRyNdQeHsJcUfGaKoWiEtV", "hWbTzLcYpXnMvQdKsRjGfAeUoZiNwBqC"
+    rows = [(i, f"send bearer {key} to host") for i in range(1000)]  # copies
+    rows += [(1000 + i, f"case {i}: use bearer {other} or auth {other} here") for i in range(20)]  # near copies, and a repeat
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    novel = {r.doc_id: [dict(rows)[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "novel"] for r in found}
+    assert all(novel[i] == ([key] if i < 1000 else [other, other]) for i in novel)
+
+
 def test_language_held_out_accuracy(spark):
     rows = queries.op9_language(spark, "/root/testdata/sf0.01")
     truth = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang")
