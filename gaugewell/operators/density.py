@@ -1,7 +1,9 @@
 """Density estimates and regions of low and high density.
 
-A model is fitted on a bounded sample (``sample_for_fit`` rows) in z-scores; rows are
-scored against it in Arrow batches. Regions are density-based clusters of the rows
+Kernel densities take mean, deviation and number from an aggregate over all rows, and
+the kernels' sums over all rows: blocks of points meet blocks of the table's z-scores.
+``sample_for_fit`` bounds them to a sample of so many rows where asked. Mixtures are
+fitted on a bounded sample (MIXTURE_SAMPLE unless asked otherwise). Regions are density-based clusters of the rows
 beyond a quantile, found by joining neighbouring cells.
 """
 
@@ -11,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,11 @@ from gaugewell.sources.shared import materialise
 KERNELS = ("gaussian", "tophat", "epanechnikov", "exponential", "linear", "cosine")
 #: Points scored at once against the sample: bounds the memory to POINTS * sample doubles.
 POINTS = 128
+#: Rows of a block of the table, and of a block of points that meets it.
+BLOCK = 8192
+POINT_BLOCK = 1024
+#: Rows that mixtures are fitted on where sample_for_fit is None.
+MIXTURE_SAMPLE = 50_000
 
 
 def _log_ball(d: int) -> float:
@@ -117,7 +125,7 @@ class DensityEstimate(Analyzer):
     capability = "coverage.density"
     provides = ("coverage.density",)
 
-    def __init__(self, df: DataFrame, id_col: str, columns=None, method="kde", bandwidth=None, kernel="gaussian", n_components=None, max_components=8, random_state=0, sample_for_fit=50_000):
+    def __init__(self, df: DataFrame, id_col: str, columns=None, method="kde", bandwidth=None, kernel="gaussian", n_components=None, max_components=8, random_state=0, sample_for_fit=None):
         require_column(df, id_col, "id_col")
         if columns is None:
             columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != id_col]
@@ -147,8 +155,11 @@ class DensityEstimate(Analyzer):
     def _fit(self):
         if self._model is not None:
             return self._model
+        if self.method == "kde" and self.sample_for_fit is None:
+            self._model = self._fit_whole()
+            return self._model
         values = self.df.select(*[number(self.df, c).alias(f"x{i}") for i, c in enumerate(self.columns)], col(self.id_col).alias("id"))
-        rows = values.orderBy(F.xxhash64(F.lit(self.random_state), "id")).limit(self.sample_for_fit).drop("id").toPandas().to_numpy(dtype=float)
+        rows = values.orderBy(F.xxhash64(F.lit(self.random_state), "id")).limit(self.sample_for_fit or MIXTURE_SAMPLE).drop("id").toPandas().to_numpy(dtype=float)
         if not len(rows):
             raise ValueError("no rows to fit")
         mean, std = rows.mean(axis=0), rows.std(axis=0)
@@ -164,6 +175,26 @@ class DensityEstimate(Analyzer):
             self._model = lambda x: gmm_log_density((x - mean) / std, weights, means, covariances)
         return self._model
 
+    def _fit_whole(self) -> DataFrame:
+        """Blocks (z) of all rows' z-scores; sets mean, deviation, number and bandwidth."""
+        d = len(self.columns)
+        values = self.df.select(*[number(self.df, c).alias(f"x{i}") for i, c in enumerate(self.columns)])
+        sums = values.agg(F.count("*"), *[F.avg(f"x{i}") for i in range(d)], *[F.stddev_pop(f"x{i}") for i in range(d)]).first()
+        if not sums[0]:
+            raise ValueError("no rows to fit")
+        mean, std = np.array(sums[1 : d + 1], dtype=float), np.array(sums[d + 1 :], dtype=float)
+        std[std == 0] = 1.0
+        self.mean, self.std, self.bic, self._n = mean, std, {}, sums[0]
+        self._h = self.bandwidth or self._n ** (-1 / (d + 4))
+
+        def run(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, BLOCK):
+                    x = np.column_stack([batch.column(i).slice(a, BLOCK).to_numpy(zero_copy_only=False) for i in range(d)])
+                    yield pa.RecordBatch.from_arrays([pa.array([((x - mean) / std).tobytes()], pa.binary())], names=["z"])
+
+        return materialise(values.mapInArrow(run, "z binary"), "density-blocks")
+
     def _fit_gmm(self, z):
         """The mixture of least BIC, of 1 to max_components parts (or n_components); the least number wins ties."""
         from pyspark.ml.clustering import GaussianMixture
@@ -193,6 +224,8 @@ class DensityEstimate(Analyzer):
         """(kept columns, x0.., log_density) of rows that have x0.. as doubles."""
         model, d = self._fit(), len(self.columns)
         names = [*df.columns, "log_density"]
+        if isinstance(model, DataFrame):
+            return self._scored_whole(df, model)
 
         def run(batches):
             for batch in batches:
@@ -202,6 +235,45 @@ class DensityEstimate(Analyzer):
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         return df.mapInArrow(run, f"{fields}, log_density double")
 
+    def _scored_whole(self, df: DataFrame, blocks: DataFrame) -> DataFrame:
+        """_scored() against all rows: blocks of points meet every block of the table, then their sums are added."""
+        spark, d = df.sparkSession, len(self.columns)
+        mean, std, h, n, kernel = self.mean, self.std, self._h, self._n, self.kernel
+        names = [*df.columns, "log_density"]
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))  # a joined row holds two blocks
+
+        def pack(batches):
+            at = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for a in range(0, batch.num_rows, POINT_BLOCK):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(a, POINT_BLOCK))
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["points", "batch"])
+                    at += 1
+
+        def part(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    points = pa.ipc.open_stream(row["batch"]).read_next_batch()
+                    x = np.column_stack([points.column(points.num_columns - d + i).to_numpy(zero_copy_only=False) for i in range(d)])
+                    z = np.frombuffer(row["z"]).reshape(-1, d)
+                    e = kde_log_density((x - mean) / std, z, h, kernel) + math.log(len(z))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["points"]], pa.int64()), pa.array([e.tobytes()], pa.binary())], names=["points", "e"])
+
+        def add(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    points = pa.ipc.open_stream(row["batch"]).read_next_batch()
+                    e = np.logaddexp.reduce([np.frombuffer(x) for x in row["parts"]], axis=0) - math.log(n)
+                    yield pa.RecordBatch.from_arrays([*points.columns, pa.array(e, pa.float64())], names=names)
+
+        packed = materialise(df.mapInArrow(pack, "points long, batch binary"), "density-points")
+        dealt = packed.repartition(spark.sparkContext.defaultParallelism, "points").crossJoin(blocks)
+        parts = dealt.select("points", "batch", "z").mapInArrow(part, "points long, e binary").groupBy("points").agg(F.sort_array(F.collect_list("e")).alias("parts"))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        return packed.join(parts, "points").select("batch", "parts").mapInArrow(add, f"{fields}, log_density double")
+
     def score(self, points: DataFrame) -> DataFrame:
         """points, with the log density at each; they need the fitted columns."""
         for c in self.columns:

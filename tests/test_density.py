@@ -77,6 +77,17 @@ def test_reports(blobs):
     assert sum(p["explained_variance"]) == pytest.approx(1) and p["grid"].count() == 25
 
 
+@pytest.mark.parametrize("kernel", ["gaussian", "linear"])
+def test_every_row_counts(spark, kernel):
+    """More rows than the sample once was."""
+    table = spark.range(60_000).select("id", F.pow(F.col("id") / 60_000, F.lit(2.0)).alias("x"))
+    points = spark.createDataFrame([(-0.5,), (0.01,), (0.4,), (0.9,)], "x double")
+    x = (np.arange(60_000) / 60_000)[:, None] ** 2
+    want = kde_log_density((np.array([[-0.5], [0.01], [0.4], [0.9]]) - x.mean()) / x.std(), (x - x.mean()) / x.std(), 60_000**-0.2, kernel)
+    got = {r.x: r.log_density for r in DensityEstimate(table, "id", ["x"], kernel=kernel).score(points).collect()}
+    assert [got[v] for v in (-0.5, 0.01, 0.4, 0.9)] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_errors(spark, blobs):
     holes = spark.createDataFrame([(1, None), (2, 1.0)], "id long, x double")
     for bad in (
