@@ -92,30 +92,54 @@ def test_bpe_any_text(codec, library, text):
     assert [i for ids in codec.encode_chunks(text.split(" ")) for i in ids] == ids_of(library, text)
 
 
-def test_automaton_runs_agree(codec):
-    words = ["internationalisation", "aaaaaaa", "ththththth", "x" * 39, "zq", "ñandú"]
-    raw = [w.encode() for w in words]
-    assert codec.automaton.encode_words(raw) == [codec.automaton.encode_word(w) for w in raw]
-
-
-def test_small_automaton_against_merging():
-    merges = [("a", "a"), ("a", "b</w>"), ("aa", "aa"), ("b", "a"), ("aa", "b</w>")]
-    symbols = ["a", "b", "a</w>", "b</w>"]
-    vocab = {t: i for i, t in enumerate([*symbols, *(a + b for a, b in merges)])}
-    auto = bpe.MergeAutomaton(vocab, merges, "</w>")
+def merged(merges, word, end="</w>"):
+    """A word's tokens by merging the pair of the lowest rank, the leftmost first."""
     rank = {m: k for k, m in enumerate(merges)}
+    parts = [*word[:-1], word[-1] + end]
+    while True:
+        best = min(((rank.get((x, y), 10**6), i) for i, (x, y) in enumerate(zip(parts, parts[1:]))), default=(10**6, 0))
+        if best[0] == 10**6:
+            return parts
+        i = best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def random_merges(seed, symbols="abc", n=14):
+    """Merges as training makes them: a pair of tokens that stand side by side in some merged word."""
+    rnd = np.random.default_rng(seed)
+    merges = []
+    while len(merges) < n:
+        parts = merged(merges, "".join(rnd.choice(list(symbols), rnd.integers(2, 9))))
+        if len(parts) > 1:
+            i = int(rnd.integers(0, len(parts) - 1))
+            merges.append((parts[i], parts[i + 1]))
+    return merges
+
+
+@pytest.mark.parametrize("merges", [[("a", "a"), ("a", "b</w>"), ("aa", "aa"), ("b", "a"), ("aa", "b</w>")], *map(random_merges, range(8))])
+def test_automaton_tables(merges):
+    """Every arc against merging its two tokens side by side, and every word of up to 7 symbols."""
     import itertools
 
-    for n in range(1, 9):
-        for word in itertools.product("ab", repeat=n):
-            parts = [*word[:-1], word[-1] + "</w>"]
-            while True:
-                best = min(((rank.get((x, y), 99), i) for i, (x, y) in enumerate(zip(parts, parts[1:]))), default=(99, 0))
-                if best[0] == 99:
-                    break
-                i = best[1]
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            assert auto.encode_word("".join(word).encode()) == [vocab[p] for p in parts], word
+    base = [x + e for x in "abc" for e in ("", "</w>")]
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*base, *(a + b for a, b in merges)]))}
+    auto = bpe.MergeAutomaton(vocab, merges, "</w>")
+    states = [t for t in vocab if not t.endswith("</w>")]
+    pairs = [(s, t) for s in states for t in vocab]
+    found = auto.arcs(np.array([vocab[s] for s, _ in pairs]), np.array([vocab[t] for _, t in pairs]))
+    for (s, t), arc in zip(pairs, found.tolist()):
+        if merged(merges, s, "") == [s]:  # else nothing leads to the state
+            assert arc == (merged(merges, s + t.removesuffix("</w>"), t[-4:] if t.endswith("</w>") else "") == [s, t]), (s, t)
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("abc" if n < 6 else "ab", repeat=n)]
+    ids, ends = auto.encode_words([w.encode() for w in words])
+    for w, a, b in zip(words, ends.tolist(), ends[1:].tolist()):
+        assert ids[a:b].tolist() == [vocab[p] for p in merged(merges, w)], w
+
+
+def test_long_words(codec, library):
+    for word in ("ab" * 40_000, "x" * 30_001, "internationalisation" * 500):
+        ids, ends = codec.automaton.encode_words([word.encode(), b"a"])
+        assert ids[: ends[1]].tolist() == ids_of(library, word)
 
 
 def test_other_tokenizers_are_encoded_whole(spark, sf, library):
