@@ -7,7 +7,7 @@ a register keeps the shingle of its first arrival, and a process ends as soon as
 next arrival is later than the latest register. Two documents agree in a register with
 the probability of their similarity.
 
-1. Copies (equal words) are one class; its least doc_id stands for it.
+1. Copies (equal words) are one class, named by a digest of its words, whatever its ids.
 2. Classes that agree in a band are compared in the band's bucket by their registers.
    A bucket of any size is dealt into pairs of blocks of BLOCK members, each a task's
    unit. Of each unit a greatest spanning forest of the estimates is proposed, not all
@@ -22,8 +22,9 @@ the probability of their similarity.
 
 Words are runs of characters other than ASCII white space, in lower case. Defined
 results: a text without words (or null) is like no other; a text of fewer words than a
-shingle is one shingle; rows that share an id are one document; rows with a null id take
-no part and are kept; an empty table gives an empty result; only id and text are read.
+shingle is one shingle; rows that share an id are each answered by their text; rows with
+a null id take no part and are kept; an empty table gives an empty result; only id and
+text are read. A text is held whole by one task, at some 100 bytes a character.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.common import bounded_batches, few_at_once, texts_of
 from gaugewell.plans.components import connected_components
+from gaugewell.plans.bitmap import maybe_among
 from gaugewell.sources.shared import materialise
 
 SHINGLE = 5
@@ -72,8 +74,8 @@ def _tables():
     return _POWERS
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of every word of UTF-8 text. Longer text is cut where a word ends."""
+def word_hashes(data: bytes, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every word of UTF-8 text. Longer text is cut where a word ends. marks: of each byte, whether it is cut off at the ends of words."""
     up, down, values = _tables()
     all_bytes = np.frombuffer(data, dtype=np.uint8)
     hashes, places, start = [], [], 0
@@ -86,6 +88,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
                 raw, space = raw[: at[-1] + 1], space[: at[-1] + 1]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
         first, end = edge[::2], edge[1::2]
+        if marks is not None:
+            inner, at = ~marks[raw], np.arange(len(raw))
+            first = np.minimum.accumulate(np.where(inner, at, len(raw))[::-1])[::-1][first]
+            end = np.maximum.accumulate(np.where(inner, at, -1))[end - 1] + 1
+            first, end = first[first < end], end[first < end]
         sums = np.concatenate(([_U(0)], np.cumsum(values[raw] * up[: len(raw)], dtype=np.uint64)))
         hashes.append(_mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)))
         places.append(first + start)
@@ -163,6 +170,11 @@ def probability_jaccard(h1, w1, h2, w2) -> float:
     return float((1.0 / ((px[upto] + only_x) / x + (py[-1] - py[upto] + only_y) / y)).sum())
 
 
+def _keys(words: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Names of the texts' classes."""
+    return [hashlib.md5(words[i:j].tobytes()).digest() for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc_id, key, registers, bands); the last two are null for a text without words."""
 
@@ -178,7 +190,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     bands = _mix(bands ^ rows[:, :, k]) + _U(k)
                 short = (registers & _U(0xFFFF)).astype("<u2")
                 some = (np.diff(starts) > 0).tolist()
-                keys = [hashlib.md5(words[i:j].tobytes()).digest() for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                keys = _keys(words, starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -192,20 +204,21 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, key binary, registers binary, bands array<long>")
 
 
-def weighted_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (rep, h, w): shingle hashes in order, and weights."""
+def weighted_sets(df: DataFrame) -> DataFrame:
+    """Rows (key, h, w) of the column text: its class's key, shingle hashes in order, and weights."""
 
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(0))
             for a, b in few_at_once(texts, 1_000_000):
-                text, h, w = shingles_of(*words_of(texts[a:b]))
+                words, starts = words_of(texts[a:b])
+                text, h, w = shingles_of(words, starts)
                 cut = np.searchsorted(text, np.arange(b - a + 1)).tolist()
                 hs = [h[i:j].tobytes() for i, j in zip(cut, cut[1:])]
                 ws = [None if (w[i:j] == 1).all() else w[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["rep", "h", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(words, starts), pa.binary()), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["key", "h", "w"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "rep long, h binary, w binary")
+    return df.select("text").mapInArrow(run, "key binary, h binary, w binary")
 
 
 def groups_in(batches):
@@ -358,14 +371,21 @@ def _weighted(h: bytes, w: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return h, np.ones(len(h)) if w is None else np.frombuffer(w, dtype="<u4").astype(np.float64)
 
 
-def _sets_of(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """weighted_sets() of the texts that reps (rep) name; texts: (rep, text)."""
-    return materialise(weighted_sets(texts.join(reps.distinct(), "rep", "left_semi"), "rep", "text").dropDuplicates(["rep"]), "near-sets")
+def _sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, h, w) of the classes that wanted (rep) names. texts: (doc_id, text).
+
+    A bitmap of bounded size over their least ids goes to every scan task; only texts that
+    it lets through are cut into shingles, and those of other classes go at the exact join
+    that follows, at every size of either side.
+    """
+    named = materialise(classes.select("rep", "key", "doc_id").join(wanted.distinct().hint("merge"), "rep", "left_semi"), "near-wanted")
+    maybe = maybe_among(texts, "doc_id", named, "doc_id")
+    sets = weighted_sets(maybe).groupBy("key").agg(F.first("h").alias("h"), F.first("w").alias("w"))
+    return materialise(sets.join(named.select("key", "rep").hint("merge"), "key").select("rep", "h", "w"), "near-sets")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity reaches THRESHOLD."""
-    sets = _sets_of(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")), texts)
     left = sets.select(F.col("rep").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1"))
     right = sets.select(F.col("rep").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"))
 
@@ -375,42 +395,48 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = [probability_jaccard(*_weighted(a, b), *_weighted(c, d)) >= THRESHOLD - 1e-12 for a, b, c, d in zip(h1, w1, h2, w2)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(run, "a long, b long").distinct()
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return joined.select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (least id of its copies), component_id (least id of its group), kept (is it that one)."""
     bounded_batches(df.sparkSession)
     docs = materialise(sketches(df, id_col, text_col), "near-sketches")
-    classes = docs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
-    classes = materialise(classes, "near-classes")
-    chosen = classes.select(F.col("key").alias("k"), "rep")
-    reps = docs.join(chosen, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep"))).select("rep", "registers", "bands").dropDuplicates(["rep"])
-    reps = materialise(reps, "near-reps")
+    # equal words have equal registers, so any row's will do; copies are folded before they are sent
+    reps = docs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    # a class has a number of its own, as its least id may be another's too
+    reps = materialise(reps.where("doc_id IS NOT NULL").withColumn("rep", F.monotonically_increasing_id()), "near-reps")
+    classes = reps.select("rep", "key", "doc_id")
     members = reps.select("rep", F.explode("bands").alias("band"))
-    members = members.select("band", "rep", F.count("*").over(Window.partitionBy("band")).alias("n")).where("n > 1")
-    members = materialise(members, "near-members")
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(members.join(shared.hint("merge"), "band").select("band", "rep", "n"), "near-members")
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     first = materialise(_proposals(_units(members.withColumn("component", F.col("rep")), reps)), "near-first")
-    links = materialise(_verified(first, texts), "near-links")
+    sets = _sets_of(first.select(F.col("a").alias("rep")).unionAll(first.select("b")), classes, texts)
+    links = materialise(_verified(first, sets), "near-links")
     found = connected_components(links)
     # buckets of two are settled; of the others, those that join components that differ
-    grouped = members.where("n > 2").join(found.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    in_band = Window.partitionBy("band")
-    unsettled = grouped.select("*", (F.min("component").over(in_band) != F.max("component").over(in_band)).alias("open")).where("open")
-    open_ = materialise(_open_members(_units(unsettled, reps)), "near-open")
-    sets = _sets_of(open_.select("rep"), texts)
-    more = materialise(_links_inside(open_.join(sets, "rep").select(*_UNIT, "h", "w").repartition("unit").sortWithinPartitions("unit")), "near-more")
+    grouped = members.where("n > 2").join(found.withColumnRenamed("vertex", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    grouped = materialise(grouped.select("band", "rep", "n", "component"), "near-grouped")
+    unsettled = grouped.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
+    open_ = materialise(_open_members(_units(grouped.join(unsettled.hint("merge"), "band"), reps)), "near-open")
+    sets = _sets_of(open_.select("rep"), classes, texts)
+    more = materialise(_links_inside(open_.join(sets.hint("merge"), "rep").select(*_UNIT, "h", "w").repartition("unit").sortWithinPartitions("unit")), "near-more")
     # what the first links joined stands as links to the least vertex of each component
     found = connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionAll(more))
 
-    group = classes.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    out = docs.select("doc_id", "key").join(group, "key", "left")
+    linked = found.select(F.col("vertex").alias("rep"), "component").join(classes.select("rep", F.col("doc_id").alias("least")).hint("merge"), "rep")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.join(least.hint("merge"), "component").select("rep", "component_id")
+    group = classes.join(linked.hint("merge"), "rep", "left").select(F.col("key").alias("k"), F.col("doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = docs.where("key IS NOT NULL").join(group.hint("merge"), F.col("key") == F.col("k"), "left").select("doc_id", "class_id", "component_id")
+    wordless = docs.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     known = F.col("doc_id").isNotNull()
-    return out.select(
+    return named.unionAll(wordless).select(
         F.col("doc_id").alias(id_col),
-        F.when(known, F.coalesce("rep", "doc_id")).alias("class_id"),
-        F.when(known, F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
+        F.when(known, F.col("class_id")).alias("class_id"),
+        F.when(known, F.col("component_id")).alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )

@@ -126,3 +126,13 @@ def test_words_across_segments(monkeypatch):
     monkeypatch.setattr(near_dups, "_SEGMENT", 400)
     cut = near_dups.word_hashes(text)
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+def test_one_id_with_two_texts(spark):
+    """The links of both texts of an id count."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"{k}{rnd.randint(0, 10**6)}" for _ in range(60)) for k in "xyz"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " end"), (3, texts[1] + " end"), (4, texts[2]), (4, texts[2]), (None, texts[2])]
+    for order in (rows, rows[::-1]):
+        got = near_dups.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
