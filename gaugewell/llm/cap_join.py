@@ -10,21 +10,22 @@ double precision. The number of directions grows with the table, so that a bucke
 unlike vectors stays small. Of 4,000 pairs just above the threshold, none missed each
 other with the codes for 10**3, 5 * 10**4, 10**6 and 10**8 rows.
 
-Equal vectors are one class with a weight. A bucket of any size is dealt into pairs of
+Equal vectors are one class with a weight and a number of its own, whatever their ids. A bucket of any size is dealt into pairs of
 blocks; a unit gives counts of links and a spanning forest, not pairs. A pair that
 shares several directions is counted in the first of them.
 
 Defined results: vectors that are null, zero, of an unusual length, or hold null or
-non-finite components link with nothing; rows of equal ids and vectors count as copies;
-a null id has a null component and is kept; an empty table gives an empty result; only
-the id and the vector are read.
+non-finite components link with nothing; rows of equal ids and vectors count as copies,
+and rows of equal ids and other vectors as other vectors, each with its own links; a null
+id has a null component and is kept, and links with its copies alone; an empty table gives
+an empty result; only the id and the vector are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.near_dups import groups_in
@@ -150,14 +151,16 @@ def _linked(units: DataFrame, threshold: float) -> DataFrame:
 def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     vectors = materialise(usable(df, id_col, vector_col), "cap-vectors")
-    classes = vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
-    reps = classes.where("rep IS NOT NULL").groupBy("rep").agg(F.max("w").alias("w"), F.max("v").alias("v"))
+    classes = vectors.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"))
+    # a class has a number of its own, as its least id may be another's too
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "cap-classes")
     size = vectors.select(F.count("*").alias("n"), F.max(F.octet_length("v")).alias("d")).first()
     code = CapCode((size["d"] or 8) // 8, size["n"])
-    reps = materialise(_decoded(reps, code), "cap-reps")
+    reps = materialise(_decoded(classes.where("least IS NOT NULL"), code), "cap-reps")
 
     members = reps.select("rep", F.explode("directions").alias("direction"))
-    members = members.select("*", F.count("*").over(Window.partitionBy("direction")).alias("n")).where("n > 1")
+    shared = members.groupBy("direction").agg(F.count("*").alias("n")).where("n > 1")
+    members = members.join(shared.hint("merge"), "direction")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.select("rep", "direction", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
     dealt = members.select("rep", "direction", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -169,9 +172,11 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     count = found.where("b IS NULL").groupBy(F.col("a").alias("c_rep")).agg(F.sum("n").alias("n"))
     group = connected_components(found.where("b IS NOT NULL").select("a", "b"))
-    known = classes.select(F.col("v").alias("c_v"), "rep", "w")
-    known = known.join(count, F.col("rep") == F.col("c_rep"), "left").join(group, F.col("rep") == F.col("vertex"), "left")
-    known = known.select("c_v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    linked = group.select(F.col("vertex").alias("l_rep"), "component").join(classes.select("rep", "least"), F.col("l_rep") == F.col("rep"))
+    least = linked.groupBy(F.col("component").alias("c_component")).agg(F.min("least").alias("c_least"))
+    linked = linked.join(least, F.col("component") == F.col("c_component")).select("l_rep", "c_least")
+    known = classes.join(count, F.col("rep") == F.col("c_rep"), "left").join(linked, F.col("rep") == F.col("l_rep"), "left")
+    known = known.select(F.col("v").alias("c_v"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("c_least", "least").alias("component"))
     answered = vectors.join(known, F.col("v") == F.col("c_v")).select("vec_id", "n_links", "component")
     # the others link with nothing
     own = materialise(answered, "cap-answers")
