@@ -11,7 +11,9 @@ bits in SLOTS hashed slots.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is
 every text where nothing labelled can be learned from; ties go to the smaller language
-name; null ids are never held out; only id, text and lang (for learning) are read.
+name; null ids are never held out; rows that share id and text are learned from once;
+only id, text and lang (for learning) are read. Every language of the labels has a sample
+at the driver: their number is taken to be small.
 """
 
 from __future__ import annotations
@@ -33,12 +35,15 @@ HELD_OUT_OF = 3
 HELD_OUT = 1
 _MIX = np.uint32(0x9E3779B1)
 _LETTER = regex.compile(r"\p{L}")
-#: Texts scored in one matrix product.
+#: Texts scored in one matrix product, and characters read at once.
 BLOCK = 32
+SEGMENT = 1 << 20
 
 
 def presence(texts: list[str]) -> np.ndarray:
-    """A row of 0 and 1 for each text: which hashed n-grams it has."""
+    """A row of 0 and 1 for each text: which hashed n-grams it has. Texts longer than SEGMENT are read in segments that share ORDERS - 1 characters."""
+    if max(map(len, texts), default=0) > SEGMENT + ORDERS:
+        return np.stack([_long_presence(t) for t in texts])
     out = np.zeros((len(texts), SLOTS), dtype=np.uint8)
     flat = out.reshape(-1)
     joined = "\0".join(t.lower() for t in texts)
@@ -60,6 +65,13 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _long_presence(text: str) -> np.ndarray:
+    low, row = text.lower(), np.zeros(SLOTS, dtype=np.uint8)
+    for a in range(0, max(1, len(low) - ORDERS + 1), SEGMENT):
+        row |= presence([low[a : a + SEGMENT + ORDERS - 1]])[0]
+    return row
+
+
 def fit(bits: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix (SLOTS x languages) that takes a presence row over the root of its sum to the values."""
     languages = sorted(set(labels))
@@ -92,14 +104,15 @@ def _held_out(id_col: str):
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Fit on SAMPLE texts of each language, by the smallest hashes of their ids, none of them held out."""
+    """Fit on SAMPLE texts of each language, by the smallest hashes of their ids and texts, none of them held out."""
     spark = df.sparkSession
     bounded_batches(spark)
     usable = F.col(lang_col).isNotNull() & ~_held_out(id_col) & F.col(text_col).isNotNull()
-    order = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30))
+    # by text and id: rows without ids, or of one id, are told apart by their texts
+    order = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
     rows = df.where(usable).select(F.col(lang_col).alias("l"), order.alias("o"), F.col(text_col).alias("t"))
-    # first the share of each language's hashes that holds its sample, from its count alone
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # first the share of each language's hashes that holds its sample, from their number alone
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("o", 0.02).alias("n")).collect()}
     if not counts:
         return [], np.zeros((SLOTS + 1, 0), dtype=np.float32)
     most = [(l, int(min(1.0, 2 * (SAMPLE + 20) / n) * (1 << 30))) for l, n in counts.items()]
@@ -110,7 +123,9 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             packed = [np.packbits(presence([t])[0]).tobytes() if _LETTER.search(t) else None for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["l", "o", "b"])
 
-    found = rows.where(F.col("o") < limit[F.col("l")]).mapInArrow(bits, "l string, o long, b binary").where("b IS NOT NULL").collect()
+    # rows that repeat are one, so that what comes to the driver is bounded
+    few = rows.where(F.col("o") < limit[F.col("l")]).groupBy("l", "o").agg(F.min("t").alias("t"))
+    found = few.mapInArrow(bits, "l string, o long, b binary").where("b IS NOT NULL").collect()
     taken: dict[str, int] = {}
     kept = []
     for r in sorted(found, key=lambda r: (r["l"], r["o"], r["b"])):
