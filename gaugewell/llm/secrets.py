@@ -2,26 +2,29 @@
 
 Known forms (assign, access, hex) are found by patterns over the whole text. For the
 rest, strings of KEY characters that follow a sensitive word are candidates; a
-candidate's novelty is what it adds to the compressed size of the code before it, over
-its length. The compressor is primed with a dictionary of the identifiers that most
+candidate's novelty is what it adds to the compressed size of the code on both sides of it
+(AROUND characters each), over its length. The compressor is primed with a dictionary of the identifiers that most
 distinct texts share (counted over all documents; copies of a text rank as one), and the code
 around the candidate comes first in its input, so names that are used elsewhere cost
-little, and random strings their full length. Incompressible candidates are reported as
+little, and random strings their full length. The dictionary is bounded (IDENTIFIERS), as
+every task holds it. Incompressible candidates are reported as
 ``novel``.
 
 A secret must not prime its own copies: where a string is a candidate, it isn't counted
-as an identifier, and earlier candidates that hold the same string are taken out of the
-code before it. So only use outside sensitive contexts makes a string a name. A string
+as an identifier, and other candidates that hold the same string are taken out of the
+code around it. So only use outside sensitive contexts makes a string a name. A string
 that runs on from the sensitive word itself (``access_token_of_the_session``) counts
 with that word as one identifier.
 
 Defined results: a null text counts as empty; rows are answered one by one, so
 repeated rows, ties and null ids don't matter; an empty table gives an empty result;
-only id and text are read.
+only id and text are read. A text is held whole by one task, in time that grows with its
+length and the number of its candidates.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -30,7 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.common import bounded_batches, texts_of
+from gaugewell.llm.common import bounded_batches, most_frequent, texts_of
+from gaugewell.sources.shared import materialise
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -40,9 +44,10 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make what follows them sensitive, and the strings that may be secrets there.
 _SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|signature)", re.ASCII | re.IGNORECASE)
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "signature")
-_KEY = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+LEAST_KEY = 16
+_KEY = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_KEY},}}", re.ASCII)
 NEAR = 48
-#: Code before a candidate that the compressor sees, in characters.
+#: Code on each side of a candidate that the compressor sees, in characters.
 AROUND = 1024
 NOVELTY = 0.75
 #: Identifiers of the dictionary: those in most distinct texts, of IDENTIFIER's form.
@@ -55,16 +60,19 @@ _SCANNERS: dict[str, object] = {}
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the strings of KEY characters that follow a sensitive word, in order."""
+    """(start, end) of the strings of KEY characters that follow a sensitive word, in order. One pass over the text."""
     low, out = text.lower(), []
-    if any(w in low for w in _HINTS):
-        done = -1
-        for m in _SENSITIVE.finditer(text):
-            for c in _KEY.finditer(text, max(m.end(), done)):
-                if c.start() > m.end() + NEAR:
-                    break
-                done = c.end()
-                out.append(c.span())
+    if not any(w in low for w in _HINTS):
+        return out
+    runs = [m.span() for m in _KEY.finditer(text)]
+    ends, done, at = [b for _, b in runs], -1, 0
+    for m in _SENSITIVE.finditer(text) if runs else ():
+        from_ = max(m.end(), done)
+        at = bisect.bisect_left(ends, from_ + LEAST_KEY, at)  # the first run of which enough is left
+        while at < len(runs) and max(runs[at][0], from_) <= m.end() + NEAR:
+            start, done = max(runs[at][0], from_), ends[at]
+            out.append((start, done))
+            from_, at = done, at + 1
     return out
 
 
@@ -90,7 +98,7 @@ def shared_identifiers(df: DataFrame, text_col: str = "text") -> list[str]:
     held = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")).mapInArrow(run, "w string, h long")
     copies = held.groupBy("w", "h").agg(F.count("*").alias("n"))
     counted = copies.groupBy("w").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    return [r["w"] for r in counted.orderBy(F.desc("texts"), F.desc("n"), "w").limit(IDENTIFIERS).collect()]
+    return most_frequent(materialise(counted.select("w", "texts"), "identifiers"), "w", "texts", IDENTIFIERS)
 
 
 class Scanner:
@@ -100,16 +108,22 @@ class Scanner:
         data.precompute_compress(level=3)
         self.zstd = zstandard.ZstdCompressor(dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def novelty(self, text: str, start: int, end: int, earlier: list[tuple[int, int]] = ()) -> float:
-        """Compressed bytes that text[start:end] adds to the text before it, without the earlier spans that hold it, per byte."""
-        low, pieces = max(0, start - AROUND), []
-        for a, b in earlier:
-            if b > low and (text[start:end] in text[a:b] or text[a:b] in text[start:end]):
-                pieces.append(text[low : max(a, low)])
-                low = b
-        before = "".join([*pieces, text[low:start]]).encode()
-        candidate = text[start:end].encode()
-        return (len(self.zstd.compress(before + candidate)) - len(self.zstd.compress(before))) / max(1, len(candidate))
+    def novelty(self, text: str, start: int, end: int, others: list[tuple[int, int]] = ()) -> float:
+        """Compressed bytes that text[start:end] adds to the code on both sides, without the other candidates that hold it, per byte."""
+        candidate = text[start:end]
+        held = [(a, b) for a, b in others if candidate in text[a:b] or text[a:b] in candidate]
+
+        def side(low: int, high: int) -> str:
+            pieces = []
+            for a, b in held:
+                if b > low and a < high:
+                    pieces.append(text[low : max(a, low)])
+                    low = b
+            return "".join([*pieces, text[low:high]])
+
+        around = f"{side(end, end + AROUND)}\n{side(max(0, start - AROUND), start)}".encode("utf-8", "surrogatepass")
+        raw = candidate.encode()
+        return (len(self.zstd.compress(around + raw)) - len(self.zstd.compress(around))) / max(1, len(raw))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, kind's number, end) in order."""
@@ -120,12 +134,15 @@ class Scanner:
         if "AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
         out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-        near: list[tuple[int, int]] = []  # candidates that the code before the next may hold
-        for start, end in candidates(text):
-            near = [x for x in near if x[1] > start - AROUND]
-            if self.novelty(text, start, end, near) >= NOVELTY:
+        found = candidates(text)
+        first = last = 0  # those that the code around a candidate may hold
+        for i, (start, end) in enumerate(found):
+            while found[first][1] <= start - AROUND:
+                first += 1
+            while last < len(found) and found[last][0] < end + AROUND:
+                last += 1
+            if self.novelty(text, start, end, found[first:i] + found[i + 1 : last]) >= NOVELTY:
                 out.append((start, 3, end))
-            near.append((start, end))
         return sorted(out)
 
 
