@@ -7,7 +7,8 @@ the patterns linear on long runs without changing what they match.
 
 Defined results: a null text counts as empty; an empty table gives an empty result;
 repeated rows are each answered; only the named columns are read, so extra columns
-don't matter; null ids are kept.
+don't matter; null ids are kept; a text of any length is one row's work, in time that
+grows with its length and the number of its matches.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CONTEXT = {
 }
 CONTEXT_CHARS = 40
 CONTEXT_BOOST = 0.1
+#: So many matches and what stands between them are longer than the context: no match is shorter than 4 characters.
+_LED = CONTEXT_CHARS // 4
 _CHUNK = 256
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -52,7 +55,7 @@ def _running(first: Column, xs: Column) -> Column:
 
 
 def _ends(sizes: Column) -> Column:
-    """Running sums of an array of any length, in chunks so that the copying stays linear."""
+    """Running sums of an array (a lambda's variable) of any length, in chunks so that the copying stays linear."""
     chunks = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / _CHUNK).cast("int"))),
         lambda k: F.slice(sizes, k * _CHUNK + 1, _CHUNK),
@@ -101,20 +104,24 @@ def spans_of(kind: str, text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
 
     def located(m: Column) -> Column:
-        between = F.transform(F.slice(F.split(text, PATTERNS[kind]), 1, F.size(m)), lambda p: F.char_length(p))
-        sizes = F.zip_with(between, m, lambda n, s: n + F.char_length(s))
-        spans = F.zip_with(
-            _ends(sizes), m, lambda e, s: F.struct((e - F.char_length(s)).alias("start"), e.alias("end"), s.alias("s"))
-        )
-
-        def scored(x: Column) -> Column:
-            from_ = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-            before = F.substring(text, from_ + 1, x["start"] - from_)
+        def placed(pieces: Column) -> Column:
+            sizes = F.zip_with(pieces, m, lambda p, s: F.char_length(p) + F.char_length(s))
+            # what stands before a match, from the match before it on, and no more of it than the context takes
+            led = F.zip_with(F.concat(F.array(F.lit("")), F.slice(m, 1, F.size(m) - 1)), pieces, lambda s, p: F.substring(F.concat(s, p), -CONTEXT_CHARS, CONTEXT_CHARS))
+            return _let(F.struct(_let(sizes, _ends).alias("ends"), led.alias("led")), confirmed)
+
+        def confirmed(x: Column) -> Column:
+            spans = F.transform(m, lambda s, i: F.struct(F.get(x["ends"], i).alias("end"), s.alias("s"), i.alias("i")))
+            return F.transform(F.filter(spans, lambda y: _confirmed(kind, y["s"])), lambda y: scored(y, x["led"]))
+
+        def scored(y: Column, led: Column) -> Column:
+            some = F.least(y["i"], F.lit(_LED))
+            before = F.substring(F.array_join(F.slice(led, y["i"] - some + 1, some + 1), ""), -CONTEXT_CHARS, CONTEXT_CHARS)
             near = before.rlike(rf"(?i)\b(?:{CONTEXT[kind]})")
             score = F.round(F.lit(BASE_SCORE[kind]) + F.when(near, F.lit(CONTEXT_BOOST)).otherwise(F.lit(0.0)), 2)
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
+            return F.struct(F.lit(kind).alias("kind"), (y["end"] - F.char_length(y["s"])).alias("start"), y["end"].alias("end"), score.alias("score"))
 
-        return F.transform(F.filter(spans, lambda x: _confirmed(kind, x["s"])), scored)
+        return _let(F.slice(F.split(text, PATTERNS[kind]), 1, F.size(m)), placed)
 
     return _let(found, lambda m: F.when(F.size(m) == 0, F.array().cast(_SPANS)).otherwise(located(m).cast(_SPANS)))
 
@@ -145,11 +152,13 @@ def redact(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
 
     def rebuilt(m: Column) -> Column:
-        pieces = F.split(text, PATTERNS[kind])
-        kept = F.zip_with(
-            F.slice(pieces, 1, F.size(m)), m, lambda p, s: F.concat(p, F.when(_confirmed(kind, s), F.lit(f"<{kind.upper()}>")).otherwise(s))
-        )
-        return F.concat(F.array_join(kept, ""), F.element_at(pieces, -1))
+        def joined(pieces: Column) -> Column:
+            kept = F.zip_with(
+                F.slice(pieces, 1, F.size(m)), m, lambda p, s: F.concat(p, F.when(_confirmed(kind, s), F.lit(f"<{kind.upper()}>")).otherwise(s))
+            )
+            return F.concat(F.array_join(kept, ""), F.element_at(pieces, -1))
+
+        return _let(F.split(text, PATTERNS[kind]), joined)
 
     return _let(found, lambda m: F.when(F.size(m) == 0, text).otherwise(rebuilt(m)))
 

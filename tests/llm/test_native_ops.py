@@ -133,3 +133,25 @@ def test_against_sql(spark, sf, sql, run):
     names = rows.columns
     clean = lambda rs: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rs)
     assert clean(got.select(names).collect()) == clean(rows.fetchall())
+
+
+def test_many_matches_in_linear_time(spark):
+    """Time in proportion to the spans, and the context as plain slices have it."""
+    import re
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        text = "".join(f"mail a{i}@b.cd, ip 1.2.3.{i % 300} +49 30 123{i:06d} " for i in range(n // 2))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = pii.pii_digest(pii.detect_pii(docs)).first()
+        took.append(time.time() - began)
+        assert row.n_email == n // 2
+    assert took[1] < 5 * 3 * took[0] + 10
+    found = pii.detect_pii(spark.createDataFrame([(1, text[:200_000])], "doc_id long, text string")).first()
+    for kind in pii.KINDS:
+        for s in found[f"{kind}_spans"]:
+            before = text[max(0, s.start - pii.CONTEXT_CHARS) : s.start]
+            boost = pii.CONTEXT_BOOST if re.search(rf"(?i)\b(?:{pii.CONTEXT[kind]})", before) else 0
+            assert s.score == round(pii.BASE_SCORE[kind] + boost, 2)
