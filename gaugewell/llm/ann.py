@@ -3,7 +3,7 @@
 A unit vector is approximated by a sum of CODEBOOKS codewords, one from each of as many
 full-dimensional codebooks, found by a beam search that goes from codebook to codebook
 with the BEAM best partial sums. The codebooks are fitted on a bounded sample (SAMPLE
-vectors, by the smallest hashes of their ids): residual k-means, then rounds of beam
+vectors, by the smallest hashes): residual k-means, then rounds of beam
 encoding and refitting each codebook to what the others leave. The index holds codes
 the norms of the sums and the quantisation errors, of every distinct direction with its
 k + 1 smallest ids: equal vectors are one row of it. A query is scored against a chunk
@@ -14,11 +14,14 @@ approximate score by more than its quantisation error, and every row that may st
 reach the k-th cosine is ranked too. So every chunk is answered exactly, whatever the
 codes don't tell apart; RERANK sets the work, not the result.
 
-Queries meet the index in blocks: blocks of queries are dealt to every chunk.
+Queries meet the index in blocks: a chunk is read once for PART_BLOCKS blocks of queries.
+Every query is held against every chunk: what grows with the square of the table is the
+lookups and the queries' copies, one for each chunk.
 
 Defined results: vectors that are null, zero, of an unusual length, or hold null or
 non-finite components take no part; a null id is no query and no candidate; rows that
-share the query's id are its own; ties go to the smaller id; an empty table gives an
+share the query's id are its own; rows that share another's id are one candidate, at the
+greatest of their cosines, and queries that share an id one query; ties go to the smaller id; an empty table gives an
 empty result; only the id and the vector are read.
 """
 
@@ -26,10 +29,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewell.llm.common import bounded_batches
+from gaugewell.llm.common import by_hash
+from gaugewell.llm.near_dups import groups_in
 from gaugewell.llm.vectors import matrix, unit, usable
 from gaugewell.sources.shared import materialise
 
@@ -41,6 +46,8 @@ ROUNDS = 6
 REFITS = 2
 CHUNK = 8192
 QUERY_BLOCK = 256
+#: Blocks of queries that a task takes through a chunk.
+PART_BLOCKS = 64
 RERANK = 320
 #: More than sums of single precision are off by.
 ROUNDING = 1e-5
@@ -176,44 +183,49 @@ def _units(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v binary")
 
 
-def _chunks(classes: DataFrame, books: np.ndarray, k: int) -> DataFrame:
-    """The index of classes (ids, v): rows (ids, codes, norms, errors, vectors) of CHUNK vectors at most."""
+_INDEX = ["ids", "codes", "norms", "errors", "vectors"]
 
-    def run(batches):
-        ids, vs, held = [], [], 0
 
-        def row():
-            x = np.concatenate(vs)
-            codes = encode(x, books)
-            norms = sums_norm(codes, books)
-            columns = (np.concatenate(ids), codes, norms, error_bound(x, codes, norms, books), x)
-            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "codes", "norms", "errors", "vectors"])
+def _chunks(classes: DataFrame, books: np.ndarray, k: int, n: int) -> DataFrame:
+    """The index of classes (chunk, ids, v), sorted by chunk: a row for each of n chunks that has any."""
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids.append(np.array([i + i[-1:] * (k + 1 - len(i)) for i in batch.column(0).to_pylist()], dtype="<i8"))
-            vs.append(matrix(batch.column(1)))
-            held += batch.num_rows
-            if held >= CHUNK:
-                yield row()
-                ids, vs, held = [], [], 0
-        if held:
-            yield row()
+    def run(batches):
+        for table, start in groups_in(batches):
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), table.num_rows]):
+                if j > i:
+                    group = table.slice(i, j - i)
+                    ids = np.array([x + x[-1:] * (k + 1 - len(x)) for x in group.column("ids").to_pylist()], dtype="<i8")
+                    x = matrix(group.column("v"))
+                    codes = encode(x, books)
+                    norms = sums_norm(codes, books)
+                    columns = (ids, codes, norms, error_bound(x, codes, norms, books), x)
+                    yield pa.RecordBatch.from_arrays([group.column("chunk").slice(0, 1).combine_chunks(), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=["chunk", *_INDEX])
 
-    return classes.mapInArrow(run, "ids binary, codes binary, norms binary, errors binary, vectors binary")
+    dealt = classes.select(F.pmod(F.xxhash64("v"), F.lit(n)).alias("chunk"), "ids", "v")
+    return dealt.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk long, ids binary, codes binary, norms binary, errors binary, vectors binary")
 
 
 def _blocks(queries: DataFrame) -> DataFrame:
-    """Rows (q_ids, q_vectors) of QUERY_BLOCK queries at most."""
+    """Rows (block, q_ids, q_vectors) of QUERY_BLOCK queries at most."""
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for a in range(0, batch.num_rows, QUERY_BLOCK):
                 some = batch.slice(a, QUERY_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(some.column(1)).tobytes()], pa.binary())], names=["q_ids", "q_vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([some.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(some.column(1)).tobytes()], pa.binary())], names=["block", "q_ids", "q_vectors"])
+                block += 1
 
-    return queries.mapInArrow(run, "q_ids binary, q_vectors binary")
+    return queries.mapInArrow(run, "block long, q_ids binary, q_vectors binary")
+
+
+def _met(index: DataFrame, blocks: DataFrame, n: int, n_blocks: int) -> DataFrame:
+    """Every chunk, followed by every block of queries: a chunk's row goes to each of its parts once, a part has PART_BLOCKS blocks or so."""
+    parts = -(-n_blocks // PART_BLOCKS)
+    none = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
+    chunks = index.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), *_INDEX, *none(["q_ids", "q_vectors"]))
+    asked = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("chunk"), F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part"), *none(_INDEX), "q_ids", "q_vectors")
+    return chunks.unionAll(asked).repartition("chunk", "part").sortWithinPartitions("chunk", "part", F.col("q_ids").asc_nulls_first())
 
 
 def nearest(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
@@ -221,38 +233,34 @@ def nearest(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_c
     spark = df.sparkSession
     vectors = materialise(_units(usable(df, id_col, vector_col).where("vec_id IS NOT NULL")), "ann-vectors")
     classes = materialise(_classes(vectors, k), "ann-classes")
-    sample = classes.orderBy(F.xxhash64(F.col("ids")[0]), "v").limit(SAMPLE).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sample:
-        return empty
-    d = len(sample[0]["v"]) // 8
-    books = fit(np.frombuffer(b"".join(r["v"] for r in sample), dtype="<f8").reshape(-1, d))
-
-    n = classes.count()
-    index = materialise(_chunks(classes.repartition(-(-n // CHUNK), F.xxhash64("v")), books, k), "ann-index")
-    index = index.select(F.xxhash64("ids").alias("chunk"), "*")
+    n_classes = classes.count()
+    few = by_hash(classes.select("v"), [F.col("v")], SAMPLE, n_classes).collect()
+    sample = [r["v"] for r in sorted(few, key=lambda r: (r["__order"], r["v"]))[:SAMPLE]]
     asked = vectors.where(queries)
     n_asked = asked.count()
-    if not n_asked:
-        return empty
+    if not sample or not n_asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    d = len(sample[0]) // 8
+    books = fit(np.frombuffer(b"".join(sample), dtype="<f8").reshape(-1, d))
+
+    n = -(-n_classes // CHUNK)
+    index = materialise(_chunks(classes, books, k, n), "ann-index")
     blocks = materialise(_blocks(asked.repartition(-(-n_asked // QUERY_BLOCK), F.xxhash64("vec_id", "v"))), "ann-queries")
-    # every chunk gets every block of queries: the names of the chunks, not the chunks, are dealt out
-    names = index.select("chunk").distinct().agg(F.collect_list("chunk").alias("chunks"))
-    dealt = blocks.join(names).select("q_ids", "q_vectors", F.explode("chunks").alias("chunk"))
 
     def run(batches):
+        chunk = None
         for batch in batches:
             for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], dtype="<i8").reshape(-1, k + 1), np.frombuffer(row["q_ids"], dtype="<i8")
-                codes = np.frombuffer(row["codes"], dtype=np.uint8).reshape(len(ids), -1)
-                vs, qs = np.frombuffer(row["vectors"], dtype="<f8").reshape(len(ids), d), np.frombuffer(row["q_vectors"], dtype="<f8").reshape(len(q_ids), d)
-                q, near, score = search_chunk(qs, q_ids, ids, codes, np.frombuffer(row["norms"], dtype=np.float32), np.frombuffer(row["errors"], dtype="<f8"), vs, books, k, rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(near, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    # a joined row holds a chunk: few to a batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    found = materialise(index.join(dealt, "chunk").select("ids", "codes", "norms", "errors", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
-    bounded_batches(spark)
+                if row["q_ids"] is None:
+                    ids = np.frombuffer(row["ids"], dtype="<i8").reshape(-1, k + 1)
+                    codes = np.frombuffer(row["codes"], dtype=np.uint8).reshape(len(ids), -1)
+                    chunk = row["chunk"], ids, codes, np.frombuffer(row["norms"], dtype=np.float32), np.frombuffer(row["errors"], dtype="<f8"), np.frombuffer(row["vectors"], dtype="<f8").reshape(len(ids), d)
+                elif chunk and chunk[0] == row["chunk"]:  # a chunk without rows has no answers
+                    q_ids = np.frombuffer(row["q_ids"], dtype="<i8")
+                    q, near, score = search_chunk(np.frombuffer(row["q_vectors"], dtype="<f8").reshape(len(q_ids), d), q_ids, *chunk[1:], books, k, rerank)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(near, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    found = materialise(_met(index, blocks, n, blocks.count()).mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

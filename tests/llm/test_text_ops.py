@@ -204,6 +204,90 @@ def test_novelty_finds_copied_secrets(spark):
     assert all(novel[i] == ([key] if i < 1000 else [other, other]) for i in novel)
 
 
+def plain_candidates(text):
+    """Word by word, and at each the strings behind it, one character after another."""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    out, done = [], -1
+    for m in secrets._SENSITIVE.finditer(text):
+        i = max(m.end(), done)
+        while i <= m.end() + secrets.NEAR and i < len(text):
+            j = i
+            while j < len(text) and text[j] in key:
+                j += 1
+            if j - i >= 16:
+                out.append((i, j))
+                done = j
+            i = max(j, i + 1)
+    return out
+
+
+@given(st.lists(st.sampled_from(["token", "secret = ", "api_key:", "auth", " ", "\n", "x" * 15, "y" * 16, "Zk3/9_", "=", "-", "é", "key", "a b " * 13]), max_size=30).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_secret_candidates(text):
+    assert secrets.candidates(text) == plain_candidates(text)
+
+
+def test_novelty_against_plain_compression(spark, sf):
+    """All novel spans of a table, by a dictionary counted in Python and a compressor of its own for each candidate."""
+    from collections import Counter
+
+    import zstandard
+
+    rnd = np.random.default_rng(5)
+    docs = [(r.doc_id, r.text or "") for r in table(spark, sf, "documents").collect()]
+    key = lambda n: "".join(rnd.choice(list("ABCDEFghijkl0123456789+/_"), n))
+    again = key(24)
+    docs += [(10_000 + i, f"The bearer {key(17 + i)} and auth {'session_of_the_user'} or {again} token {key(20)} signature {again} end. " * (1 + i % 3)) for i in range(30)]
+    texts, rows = Counter(), Counter()
+    for t, n in Counter(t for _, t in docs).items():
+        for w in secrets.identifiers_of(t):
+            texts[w] += 1
+            rows[w] += n
+    names = sorted((w for w in texts if rows[w] >= secrets.LEAST_DOCUMENTS), key=lambda w: (-texts[w], w))
+    assert len(names) <= secrets.IDENTIFIERS
+    primer = "\n".join(reversed(names)).encode()
+    novel = lambda s: [x for x in s.split(",") if x.startswith("novel:")]
+    got = {r.doc_id: novel(r.spans) for r in secrets.digest(secrets.scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    size = lambda raw: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=3, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
+    some = 0
+    for d, t in docs:
+        found = plain_candidates(t)
+        want = []
+        for a, b in found:
+            keep = [True] * len(t)
+            for c, e in found:
+                if (c, e) != (a, b) and (t[c:e] in t[a:b] or t[a:b] in t[c:e]):
+                    keep[c:e] = [False] * (e - c)
+            side = lambda i, j: "".join(t[k] for k in range(max(i, 0), min(j, len(t))) if keep[k])
+            around = (side(b, b + secrets.AROUND) + "\n" + side(a - secrets.AROUND, a)).encode()
+            if (size(around + t[a:b].encode()) - size(around)) / len(t[a:b].encode()) >= secrets.NOVELTY:
+                want.append(f"novel:{a}:{b}")
+        assert got[d] == want, d
+        some += len(want)
+    assert some
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    scanner = secrets.Scanner([])
+    took = []
+    for n in (50_000, 200_000):
+        began = time.process_time()
+        scanner.spans("secret token " * n)
+        scanner.spans("secret " + "Ab3dEf6hIj9lMn2p " * (n // 50))
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * 3 * took[0] + 1
+
+
+def test_a_secret_in_many_copies_is_found(spark):
+    """A key that recurs, in copies of a text and in other texts, primes nothing that hides it."""
+    key = "q7Zt9Lw2Xv5Bn8Kd3Rf6"
+    rows = [(i, f"bearer {key} is for service {i % 3}") for i in range(1000)] + [(1000 + i, f"Some text number {i} with words") for i in range(50)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all([s.kind for s in r.spans] == (["novel"] if r.doc_id < 1000 else []) for r in got)
+
+
 def test_language_held_out_accuracy(spark):
     rows = queries.op9_language(spark, "/root/testdata/sf0.01")
     truth = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang")
@@ -212,6 +296,49 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) >= 0.97
 
 
+def test_language_without_ids(spark):
+    """Null ids, and one id for all rows: every language is learned."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    names = sorted(r.lang for r in docs.where("lang IS NOT NULL").select("lang").distinct().collect())
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)  # an id that isn't held out
+    for id_ in (F.lit(None), F.lit(one)):
+        assert language.learn(docs.withColumn("doc_id", id_.cast("long")))[0] == names
+    copies = docs.where("lang IS NOT NULL").dropDuplicates(["lang"]).withColumn("doc_id", F.lit(one).cast("long"))
+    many = copies.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("n")
+    assert language.learn(many)[0] == names
+
+
+def test_language_fit_is_kernel_ridge():
+    """The folded matrix gives what ridge regression on the Nystroem features gives, computed from the kernel itself."""
+    rnd = np.random.default_rng(3)
+    words = {"x": "abcdef", "y": "uvwxyz", "z": "aeiouy"}
+    texts = [(l, " ".join("".join(rnd.choice(list(a), 5)) for _ in range(12))) for l, a in words.items() for _ in range(20)]
+    bits = language.presence([t for _, t in texts])
+    names, folded = language.fit(bits, [l for l, _ in texts])
+    grams = [{(n, t[i : i + n]) for n in range(1, language.ORDERS + 1) for i in range(len(t) - n + 1)} for _, t in texts]
+    slots = [set(np.flatnonzero(b).tolist()) for b in bits]
+    assert all(len(s) >= 0.97 * len(g) for s, g in zip(slots, grams))  # few n-grams share a slot
+    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in slots] for a in slots])
+    # every text is a landmark here, so the features' kernel is the kernel; ridge with an intercept, languages weighted alike
+    n, weight = len(texts), 1 / 20
+    values, vectors = np.linalg.eigh(kernel)
+    phi = np.hstack([vectors[:, values > 1e-9 * values.max()] * np.sqrt(values[values > 1e-9 * values.max()]), np.ones((n, 1))])
+    for k, name in enumerate(names):
+        y = np.array([1.0 if l == name else -1.0 for l, _ in texts])
+        beta = np.linalg.solve(weight * phi.T @ phi + language.RIDGE * np.eye(phi.shape[1]), weight * phi.T @ y)
+        got = (bits @ folded[:-1, k]) / np.sqrt(bits.sum(axis=1)) + folded[-1, k]
+        assert got == pytest.approx(phi @ beta, abs=1e-3)
+
+
+def test_presence_of_long_texts(monkeypatch):
+    text = "Some words that vary 0123 é ß " * 40 + "end"
+    whole = language.presence([text, "a", ""])
+    monkeypatch.setattr(language, "SEGMENT", 50)
+    assert (language.presence([text, "a", ""]) == whole).all()
+
+
 def test_language_split_is_crc32(spark, sf):
     for r in queries.op9_language(spark, sf).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)

@@ -72,6 +72,13 @@ def test_links_edge(spark):
     assert cap_join.embedding_links(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_links_of_one_id_with_two_vectors(spark):
+    """Each row has the links of its own vector."""
+    rows = [(5, [1.0, 0, 0, 0]), (5, [0, 1.0, 0, 0]), (6, [1.0, 0.01, 0, 0]), (7, [0.01, 1.0, 0, 0]), (7, [0, 0, 1.0, 0]), (8, [0, 1.0, 0.01, 0])]
+    got = sorted(map(tuple, cap_join.embedding_links(frame(spark, rows)).collect()))
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 0, 7, True), (7, 2, 5, False), (8, 2, 5, False)]
+
+
 def test_cap_code_misses_little():
     rnd = np.random.default_rng(9)
     for n in (1000, 1_000_000):
@@ -140,6 +147,22 @@ def test_recall_in_a_hot_group(spark, monkeypatch, noise):
     assert hits == len(got) == 5 * len(want), hits / len(got)
 
 
+@pytest.mark.parametrize("rows", [900, 2500])
+def test_equal_vectors_in_any_order(spark, monkeypatch, rows):
+    """The smallest ids of a thousand and more equal vectors, with several chunks and parts."""
+    monkeypatch.setattr(ann, "CHUNK", 300)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(ann, "PART_BLOCKS", 2)
+    rnd = np.random.default_rng(rows)
+    table_ = [(int(i), [1.0, 2.0, 3.0] if i % 2 or i < 60 else rnd.standard_normal(3).tolist()) for i in rnd.permutation(rows)]
+    got = ann.nearest(frame(spark, table_), "vec_id % 50 = 0").collect()
+    want = plain_nearest(table_, range(0, rows, 50))
+    for q in (0, 50):
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for i, _ in want[q]]
+    hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+    assert hits == len(got) == 5 * len(want)
+
+
 def test_small_table_is_exact(spark, sf):
     docs = table(spark, sf, "embeddings")
     rows = [(r.vec_id, list(r.embedding)) for r in docs.collect()]
