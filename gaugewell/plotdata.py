@@ -35,7 +35,7 @@ def low_density_share(density) -> DataFrame:
 
 def density_2d(density, dims, resolution: int = 100, max_points: int = 2000, seed: int = 0) -> dict[str, DataFrame]:
     """The grid of two columns, and a sample of the points over it."""
-    points = density.df.select(*dims).orderBy(F.xxhash64(F.lit(seed), density.id_col)).limit(max_points)
+    points = density.df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(density.id_col).cast("string")).cast("binary")), density.id_col).limit(max_points).select(*dims)
     return {"grid": density.density_grid(dims, resolution), "points": points}
 
 

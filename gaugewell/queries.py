@@ -148,10 +148,10 @@ def _cramer(v, t, c):
     SELECT m, k, CASE m WHEN 1 THEN one ELSE n - one END AS o FROM (SELECT {c} AS k, count(*) AS n, count(*) FILTER ({t} IS NULL) AS one FROM {v} WHERE {c} IS NOT NULL GROUP BY 1), (SELECT unnest([0, 1]) AS m)))"""
 
 
-@_query("miss_observed_numeric", f"{_with('m_orders')} {_point_sql('m_orders', [('orderdate', 'totalprice'), ('orderstatus', 'totalprice')])}")
+@_query("miss_observed_numeric", f"{_with('m_orders')} {_point_sql('m_orders', [(t, 'totalprice') for t in ('orderdate', 'orderstatus', 'orderpriority')])}")
 def miss_observed_numeric(spark, d):
     out = MissingnessCorrelation(view(spark, d, "m_orders"), "rid").missing_observed_corr().df
-    return out.where("compared_type = 'numeric' AND missing_column <> 'orderpriority'").select("missing_column", "compared_to", "statistic")
+    return out.where("compared_type = 'numeric'").select("missing_column", "compared_to", "statistic")
 
 
 @_query("miss_observed_categorical", f"{_with('m_lineitem')} " + " UNION ALL ".join(_cramer("m_lineitem", t, c) for c in ("returnflag", "linestatus") for t in LINE_VARY if t != c))
@@ -165,6 +165,103 @@ def miss_target_corr(spark, d):
     return MissingnessCorrelation(view(spark, d, "m_documents")).missing_target_corr("quality").df.where("compared_to <> 'toxic'").select("missing_column", "compared_to", "statistic")
 
 
+_LINE_NUMBERS, _LINE_WORDS = ["quantity", "extendedprice", "discount", "tax"], ["returnflag", "linestatus"]
+_T_TESTS = " UNION ALL ".join(f"SELECT '{t}' AS missing_column, '{c}' AS compared_to, corr(({t} IS NULL)::INT, {c}) AS r, count({c})::DOUBLE AS n FROM m_lineitem WHERE {c} IS NOT NULL" for t in LINE_VARY for c in _LINE_NUMBERS if t != c)
+_CHI_TESTS = " UNION ALL ".join(
+    f"""SELECT '{t}' AS missing_column, '{c}' AS compared_to, sum(pow(abs(o - e) - CASE WHEN n_cells = 4 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e) AS x, sum(o)::DOUBLE AS n, any_value(n_cells) / 2 - 1 AS dof FROM (
+  SELECT o, sum(o) OVER (PARTITION BY m) * (sum(o) OVER (PARTITION BY k))::DOUBLE / sum(o) OVER () AS e, count(*) OVER () AS n_cells FROM (
+    SELECT m, k, CASE m WHEN 1 THEN one ELSE n - one END AS o FROM (SELECT {c} AS k, count(*) AS n, count(*) FILTER ({t} IS NULL) AS one FROM m_lineitem WHERE {c} IS NOT NULL GROUP BY 1), (SELECT unnest([0, 1]) AS m)))"""
+    for t in LINE_VARY
+    for c in _LINE_WORDS
+    if t != c
+)
+#: Student's t by Simpson's rule, chi-squared by the series of the incomplete gamma function.
+_TESTS = f"""{_with('m_lineitem')}, tt AS (SELECT *, least(abs(r) * sqrt((n - 2) / (1 - r * r)), 50) AS t FROM ({_T_TESTS}) WHERE NOT isnan(r)),
+tp AS (SELECT missing_column, compared_to, 'numeric' AS compared_type, round(any_value(r), 3) AS statistic, 'point_biserial' AS method,
+    1 - 2 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2) - 0.5 * ln((n - 2) * pi()) - (n - 1) / 2 * ln(1 + pow(t * i / 2000, 2) / (n - 2))) * t / 6000) AS p
+    FROM tt, (SELECT unnest(range(2001)) AS i) GROUP BY ALL),
+cp AS (SELECT missing_column, compared_to, 'categorical' AS compared_type, round(sqrt(any_value(x / n)), 3) AS statistic, 'cramers_v' AS method,
+    CASE WHEN any_value(x) > 600 THEN 0 ELSE 1 - sum(CASE WHEN x > 0 THEN exp((dof / 2 + i) * ln(x / 2) - x / 2 - lgamma(dof / 2 + i + 1)) ELSE 0 END) END AS p
+    FROM ({_CHI_TESTS}), (SELECT unnest(range(1500)) AS i) GROUP BY ALL),
+tests AS (SELECT missing_column, compared_to, compared_type, statistic, round(greatest(p, 0), 4) AS p_value, method FROM (SELECT * FROM tp UNION ALL SELECT * FROM cp))"""
+
+
+@_query("miss_observed_tests", f"{_TESTS} SELECT * FROM tests")
+def miss_observed_tests(spark, d):
+    return MissingnessCorrelation(view(spark, d, "m_lineitem")).missing_observed_corr().df
+
+
+@_query("miss_observed_chart", f"{_TESTS} SELECT *, p_value < 0.05 AS significant, round(abs(statistic) / max(abs(statistic)) OVER (), {PLACES}) AS size FROM tests")
+def miss_observed_chart(spark, d):
+    return _rounded(MissingnessCorrelation(view(spark, d, "m_lineitem")).missing_observed_corr().plot, "size")
+
+
+@_query("miss_mask", f"{_with('m_orders')} SELECT {', '.join(f'{c} IS NULL AS {c}' for c in PAYLOAD)} FROM m_orders")
+def miss_mask(spark, d):
+    return MissingnessCorrelation(view(spark, d, "m_orders"), "rid").mask()
+
+
+@_query("miss_miss_chart", ORACLES["miss_miss_corr"])
+def miss_miss_chart(spark, d):
+    return MissingnessCorrelation(view(spark, d, "m_orders"), "rid").missing_missing_corr().plot
+
+
+@_query("col_missing_chart", ORACLES["col_missing_summary"])
+def col_missing_chart(spark, d):
+    return ColumnsMissingness(view(spark, d, "m_orders")).summary().plot.withColumn("dtype", F.regexp_replace("dtype", "_ntz$", ""))
+
+
+@_query("col_stats_chart", ORACLES["col_missing_stats"])
+def col_stats_chart(spark, d):
+    return _rounded(ColumnsMissingness(view(spark, d, "m_orders")).stats().plot, "rates", "counts")
+
+
+@_query("row_full_chart", ORACLES["row_full_missing"])
+def row_full_chart(spark, d):
+    return _by_row(spark, d).full_missing().plot
+
+
+@_query("row_above_chart", f"{_ROWS} SELECT 'matching' AS part, count(*) FILTER (missing_count >= 2) AS rows FROM r UNION ALL SELECT 'others', count(*) FILTER (missing_count < 2) FROM r")
+def row_above_chart(spark, d):
+    return _by_row(spark, d).missing_above(0.5).plot
+
+
+@_query("row_below_chart", f"{_ROWS} SELECT 'matching' AS part, count(*) FILTER (missing_count <= 1) AS rows FROM r UNION ALL SELECT 'others', count(*) FILTER (missing_count > 1) FROM r")
+def row_below_chart(spark, d):
+    return _by_row(spark, d).missing_below(0.25).plot
+
+
+@_query("row_completeness_chart", ORACLES["row_completeness"])
+def row_completeness_chart(spark, d):
+    return _by_row(spark, d).completeness().plot
+
+
+@_query("row_summary_chart", f"{_ROWS} UNPIVOT (SELECT count(*) AS total_rows, count(*) FILTER (missing_count = 4) AS full_missing_rows, count(*) FILTER (missing_count >= 2) AS missing_rows_above FROM r) ON COLUMNS(*) INTO NAME measure VALUE rows")
+def row_summary_chart(spark, d):
+    return _by_row(spark, d).summary({"above": 0.5}).plot
+
+
+@_query("row_stats_chart", f"{_ROWS} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {_metric_sql('missing_count / 4', m)} AS rate FROM r" for m in METRICS))
+def row_stats_chart(spark, d):
+    return _rounded(_by_row(spark, d).stats().plot, "rate")
+
+
+_NAMED = {
+    "dataset.missingness.rates.columns": "missingness.column_rates",
+    "dataset.missingness.rates.rows": "missingness.row_rates",
+    "dataset.missingness.clusters": "missingness.row_clusters",
+    "dataset.duplicates.exact": "duplicates.exact",
+    "dataset.duplicates.near": "duplicates.near",
+    "coverage.density": "coverage.density",
+}
+
+
+@_query("capabilities", " UNION ALL ".join(f"SELECT '{i}' AS id, '{c}' AS capability_name" for i, c in _NAMED.items()))
+def capabilities(spark, d):
+    every = [ColumnsMissingness, RowsMissingness, MissingnessClusters, ExactDuplicates, NearDuplicates, DensityEstimate]
+    return spark.createDataFrame([(a.id, a.capability_name.fget(a)) for a in every], "id string, capability_name string")
+
+
 _SIG = f"""{_with('m_orders')}, r AS (SELECT rid, {' || '.join(f"({c} IS NULL)::INT" for c in PAYLOAD)} AS s FROM m_orders),
 c AS (SELECT s, count(*) AS n FROM r GROUP BY 1), k AS (SELECT s, n, row_number() OVER (ORDER BY n DESC, s) - 1 AS cluster_id, sum(n) OVER () AS total FROM c)"""
 _MISSING_LIST = "concat_ws(',', " + ", ".join(f"CASE WHEN s[{i + 1}] = '1' THEN '{c}' END" for i, c in enumerate(PAYLOAD)) + ")"
@@ -195,6 +292,19 @@ def cluster_summary(spark, d):
     return MissingnessClusters(view(spark, d, "m_orders"), "rid").summary()
 
 
+_TEXT = """CASE WHEN s = '0000' THEN 'complete rows' ELSE array_to_string(l[:3], ', ') || CASE WHEN len(l) > 3 THEN ' +' || (len(l) - 3) ELSE '' END END"""
+
+
+@_query("cluster_chart", f"{_SIG} SELECT cluster_id::INT AS cluster_id, n AS size, n / total AS rate, {_TEXT} AS description FROM (SELECT *, string_split({_MISSING_LIST}, ',') AS l FROM k) ORDER BY cluster_id LIMIT 15")
+def cluster_chart(spark, d):
+    return MissingnessClusters(view(spark, d, "m_orders"), "rid").chart()
+
+
+@_query("cluster_pattern_chart", f"{_SIG} " + " UNION ALL ".join(f"SELECT cluster_id::INT AS cluster_id, '{c}' AS \"column\", s[{i + 1}]::DOUBLE AS fraction FROM k WHERE cluster_id < 5" for i, c in enumerate(PAYLOAD)))
+def cluster_pattern_chart(spark, d):
+    return plotdata.pattern(MissingnessClusters(view(spark, d, "m_orders"), "rid"), top_n=5)
+
+
 @_query("cluster_hierarchical")
 def cluster_hierarchical(spark, d):
     return MissingnessClusters(view(spark, d, "m_lineitem")).clusters("hierarchical", k=6).table.withColumn("missing_columns", F.array_join("missing_columns", ","))
@@ -376,9 +486,22 @@ def near_vs_exact(spark, d):
     return _parts(spark, d).near_vs_exact_ratio(ExactDuplicates(view(spark, d, "near_part").select("p_size", "p_brand")))
 
 
-@_query("near_false_positive")
+_PERMUTED = ", ".join(f"y{i} AS (SELECT {c}, row_number() OVER (ORDER BY md5('0|{i}|' || p_partkey), p_partkey) AS row FROM {{v}} QUALIFY row <= 2000)" for i, c in enumerate([*_PART[2], *_PART[3]]))
+_PERMUTED = _PERMUTED.format(v="near_part") + f", permuted AS (SELECT y0.row AS p_partkey, {', '.join([*_PART[2], *_PART[3]])} FROM y0 JOIN y1 USING (row) JOIN y2 USING (row) JOIN y3 USING (row))"
+
+
+@_query(
+    "near_false_positive",
+    _pairs_sql("near_part", "p_partkey", _PART[2], _PART[3], 0.97).replace("\ns AS", "\nunused AS", 0).replace("s AS (SELECT *,", f"{_PERMUTED}, s AS (SELECT *,", 1).replace("FROM near_part),\np AS", "FROM permuted),\np AS", 1)
+    + " SELECT 0.97::DOUBLE AS threshold, n * (n - 1) // 2 AS n_pairs_checked, (SELECT count(*) FROM q) / (n * (n - 1) // 2) AS false_positive_rate FROM (SELECT count(*) AS n FROM permuted)",
+)
 def near_false_positive(spark, d):
-    return _parts(spark, d).false_positive_rate(n_samples=1000)
+    return _parts(spark, d).false_positive_rate()
+
+
+@_query("near_cross_split_pairs", f"{_pairs_sql(*_PART, 0.97, extra=_SPLITS)} SELECT row_i, row_j, similarity, split_i, split_j FROM q WHERE split_i <> split_j")
+def near_cross_split_pairs(spark, d):
+    return _parts(spark, d).cross_split_pairs()
 
 
 # density
@@ -427,17 +550,38 @@ def kde_density_1d(spark, d):
 _GRID = """WITH st AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2, count(*) AS n, pow(count(*), -1.0 / 6) AS h,
   min(p_size) AS a1, max(p_size) AS b1, min(p_retailprice) AS a2, max(p_retailprice) AS b2 FROM part),
 z AS (SELECT (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v FROM part, st),
-g AS (SELECT i, j, a1 - 0.05 * (b1 - a1) + i * 1.1 * (b1 - a1) / 19 AS x, a2 - 0.05 * (b2 - a2) + j * 1.1 * (b2 - a2) / 19 AS y FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j), st),
+g AS (SELECT i, j, a1 - 0.05 * (b1 - a1) + i * 1.1 * (b1 - a1) / 99 AS x, a2 - 0.05 * (b2 - a2) + j * 1.1 * (b2 - a2) / 99 AS y FROM (SELECT unnest(range(100)) AS i), (SELECT unnest(range(100)) AS j), st),
 e AS (SELECT i, j, any_value(x) AS x, any_value(y) AS y, ln(sum(exp(-0.5 * (pow(((x - m1) / s1 - u) / h, 2) + pow(((y - m2) / s2 - v) / h, 2))))) - ln(any_value(n)) - 2 * ln(any_value(h)) - ln(2 * pi()) AS log_density FROM g, z, st GROUP BY i, j)
 SELECT i::INT AS i, j::INT AS j, round(x, 4) AS x, round(y, 4) AS y, round(log_density, 6) AS log_density FROM e"""
 
 
 @_query("kde_grid", _GRID)
 def kde_grid(spark, d):
-    out = _part_density(spark, d).density_grid(("p_size", "p_retailprice"), resolution=20)
+    return _grid(_part_density(spark, d).density_grid(("p_size", "p_retailprice")))
+
+
+def _grid(out):
     return out.select("i", "j", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("log_density", PLACES).alias("log_density"))
 
 
+_POINTS = "SELECT p_size, p_retailprice FROM part ORDER BY md5('0|' || p_partkey), p_partkey LIMIT 2000"
+
+
+@_query("density_2d_grid", _GRID)
+def density_2d_grid(spark, d):
+    return _grid(plotdata.density_2d(_part_density(spark, d), ("p_size", "p_retailprice"))["grid"])
+
+
+@_query("density_2d_points", _POINTS)
+def density_2d_points(spark, d):
+    return plotdata.density_2d(_part_density(spark, d), ("p_size", "p_retailprice"))["points"]
+
+
+@_query("low_density_share", f"{_ROW_KDE}, q AS (SELECT count(*) FILTER (log_density < (SELECT quantile_cont(log_density, 0.1) FROM d)) AS low, count(*) AS n FROM d) SELECT 'low_density' AS part, low AS rows FROM q UNION ALL SELECT 'others', n - low FROM q")
+def low_density_share(spark, d):
+    return plotdata.low_density_share(_accounts(spark, d))
+
+
 def _region_sql(side):
     """One dimension: the chosen rows in order; gaps over eps part the clusters. Cores, components and borders by the definition."""
     chosen = {"low": "log_density < (SELECT quantile_cont(log_density, 0.1) FROM d)", "high": "log_density > (SELECT quantile_cont(log_density, 0.9) FROM d)"}[side]
@@ -467,9 +611,40 @@ def high_density_clusters(spark, d):
     return _region(_accounts(spark, d).high_density_clusters())
 
 
-@_query("low_density_regions_2d")
+@_query("low_density_table", _region_sql("low"))
+def low_density_table(spark, d):
+    return _region(plotdata.low_density_table(_accounts(spark, d)))
+
+
+_REGIONS_2D = f"""WITH RECURSIVE st AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2, count(*) AS n, pow(count(*), -1.0 / 6) AS h FROM part),
+z AS (SELECT p_partkey AS id, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v FROM part, st),
+d AS (SELECT a.id, any_value(a.u) AS u, any_value(a.v) AS v, ln(sum(exp(-0.5 * (pow((a.u - b.u) / h, 2) + pow((a.v - b.v) / h, 2))))) - ln(any_value(n)) - 2 * ln(any_value(h)) - ln(2 * pi()) AS log_density FROM z a CROSS JOIN z b, st GROUP BY a.id),
+c AS (SELECT * FROM d WHERE log_density < (SELECT quantile_cont(log_density, 0.1) FROM d)),
+nb AS (SELECT a.id, b.id AS o FROM c a JOIN c b ON sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2)) <= 0.5 * sqrt(2)),
+core AS (SELECT id FROM nb GROUP BY id HAVING count(*) >= 5),
+link AS (SELECT id, o FROM nb WHERE id IN (SELECT id FROM core) AND o IN (SELECT id FROM core)),
+reach AS (SELECT id, o FROM link UNION SELECT reach.id, link.o FROM reach JOIN link ON reach.o = link.id),
+comp AS (SELECT id, min(o) AS least_id FROM reach GROUP BY id),
+cl AS (SELECT id, dense_rank() OVER (ORDER BY least_id) - 1 AS region FROM comp),
+al AS (SELECT id, region FROM cl UNION ALL SELECT nb.id, min(region) FROM nb JOIN cl ON nb.o = cl.id WHERE nb.id NOT IN (SELECT id FROM cl) GROUP BY nb.id),
+ce AS (SELECT region, count(*) AS n_points, avg(log_density) AS l, avg(u) AS mu, avg(v) AS mv FROM al JOIN c USING (id) GROUP BY region)
+SELECT region::BIGINT AS region_id, any_value(n_points) AS n_points, round(any_value(l), {PLACES}) AS mean_log_density, round(any_value(m1 + s1 * mu), 4) AS p_size, round(any_value(m2 + s2 * mv), 4) AS p_retailprice, round(max(sqrt(pow(u - mu, 2) + pow(v - mv, 2))), {PLACES}) AS radius
+FROM al JOIN c USING (id) JOIN ce USING (region), st GROUP BY region"""
+
+
+def _region_2d(df):
+    centre = [F.round(F.col("centroid")[c], 4).alias(c) for c in ("p_size", "p_retailprice")]
+    return df.select("region_id", "n_points", F.round("mean_log_density", PLACES).alias("mean_log_density"), *centre, F.round("radius", PLACES).alias("radius"))
+
+
+@_query("low_density_regions_2d", _REGIONS_2D)
 def low_density_regions_2d(spark, d):
-    return _part_density(spark, d).low_density_regions().withColumn("centroid", F.to_json("centroid"))
+    return _region_2d(_part_density(spark, d).low_density_regions())
+
+
+@_query("high_density_clusters_2d", _REGIONS_2D.replace("log_density < (SELECT quantile_cont(log_density, 0.1) FROM d)", "log_density > (SELECT quantile_cont(log_density, 0.9) FROM d)"))
+def high_density_clusters_2d(spark, d):
+    return _region_2d(_part_density(spark, d).high_density_clusters())
 
 
 @_query("gmm_row_density")
@@ -479,11 +654,11 @@ def gmm_row_density(spark, d):
 
 @_query("gmm_bic")
 def gmm_bic(spark, d):
-    fitted = _part_density(spark, d, method="gmm", max_components=4)
+    fitted = _part_density(spark, d, method="gmm")
     fitted._fit()
     return spark.createDataFrame([(k, float(v)) for k, v in fitted.bic.items()], "n_components int, bic double")
 
 
 @_query("pca_projection")
 def pca_projection(spark, d):
-    return _part_density(spark, d).density_projection(resolution=20)["grid"]
+    return _part_density(spark, d).density_projection()["grid"]
