@@ -13,6 +13,8 @@ from gaugewell.functions.special import chi2_upper, t_two_sided
 
 #: Expressions in one aggregation; more columns are done in several passes.
 BATCH = 200
+#: Characters beyond which a category is told apart by its digest.
+LONG_VALUE = 64
 _SCHEMA = "missing_column string, compared_to string, compared_type string, statistic double, p_value double, method string"
 
 
@@ -109,7 +111,9 @@ class MissingnessCorrelation:
         if not pairs:
             return []
         columns, targets = sorted({c for _, c in pairs}), sorted({t for t, _ in pairs})
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), canon(df, c).cast("string").alias("v")) for c in columns])
+        # long values travel as digests
+        short = lambda v: F.when(F.length(v) > LONG_VALUE, F.sha2(v.cast("binary"), 256)).otherwise(v)
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), short(canon(df, c).cast("string")).alias("v")) for c in columns])
         long = df.select(*[flag(df, t).alias(f"m{i}") for i, t in enumerate(targets)], F.explode(cells).alias("x")).where("x.v IS NOT NULL")
         table = long.groupBy("x.c", "x.v").agg(F.count("*").alias("n"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(targets))])
         totals = table.groupBy(F.col("c").alias("t_c")).agg(F.sum("n").alias("all"), F.count("*").alias("n_values"), *[F.sum(f"m{i}").alias(f"all{i}") for i in range(len(targets))])

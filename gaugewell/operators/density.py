@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from gaugewell.base import Analyzer, require_column
 from gaugewell.functions.missing import col, missing, number
 from gaugewell.plans.components import connected_components
-from gaugewell.plans.ranking import with_rank
+from gaugewell.plans.ranking import quantiles, with_rank
 from gaugewell.sources.shared import materialise
 
 KERNELS = ("gaussian", "tophat", "epanechnikov", "exponential", "linear", "cosine")
@@ -149,6 +149,7 @@ class DensityEstimate(Analyzer):
         self._model = None
         self._density: DataFrame | None = None
         self._regions: dict = {}
+        self._quantiles: dict[float, float] = {}
 
     # fitting
 
@@ -159,7 +160,11 @@ class DensityEstimate(Analyzer):
             self._model = self._fit_whole()
             return self._model
         values = self.df.select(*[number(self.df, c).alias(f"x{i}") for i, c in enumerate(self.columns)], col(self.id_col).alias("id"))
-        rows = values.orderBy(F.xxhash64(F.lit(self.random_state), "id")).limit(self.sample_for_fit or MIXTURE_SAMPLE).drop("id").toPandas().to_numpy(dtype=float)
+        # a share of the hashes that holds the sample comes to the driver, however many partitions there are
+        most, order = self.sample_for_fit or MIXTURE_SAMPLE, F.xxhash64(F.lit(self.random_state), "id")
+        limit = int(min(1.0, (1.2 * most + 1000) / max(values.count(), 1)) * (1 << 40))
+        few = values.withColumn("order", order).where(F.pmod("order", F.lit(1 << 40)) < limit).drop("id").toPandas()
+        rows = few.sort_values(["order", *few.columns[:-1]])[:most].drop(columns="order").to_numpy(dtype=float)
         if not len(rows):
             raise ValueError("no rows to fit")
         mean, std = rows.mean(axis=0), rows.std(axis=0)
@@ -340,14 +345,16 @@ class DensityEstimate(Analyzer):
     # reports
 
     def _quantile(self, q: float) -> float:
-        return self.row_density().agg(F.percentile("log_density", q)).first()[0]
+        if q not in self._quantiles:
+            self._quantiles[q] = quantiles(self.row_density(), "log_density", [q])[0]
+        return self._quantiles[q]
 
     def density_summary(self) -> DataFrame:
         """One row: method, n_rows, n_dims, log_density_min/max/mean/median, low_density_threshold (10 % quantile), pct_rows_low_density."""
         x, low = F.col("log_density"), self._quantile(0.10)
         return self.row_density().agg(
             F.lit(self.method).alias("method"), F.count("*").alias("n_rows"), F.lit(len(self.columns)).alias("n_dims"),
-            F.min(x).alias("log_density_min"), F.max(x).alias("log_density_max"), F.avg(x).alias("log_density_mean"), F.percentile(x, 0.5).alias("log_density_median"),
+            F.min(x).alias("log_density_min"), F.max(x).alias("log_density_max"), F.avg(x).alias("log_density_mean"), F.lit(self._quantile(0.5)).alias("log_density_median"),
             F.lit(low).alias("low_density_threshold"), (F.count_if(x < low) / F.count("*")).alias("pct_rows_low_density"),
         )
 

@@ -62,6 +62,15 @@ class ExactDuplicates(Analyzer):
             out.append(F.transform(F.array_sort(pairs), lambda x: x["v"]).alias("labels"))
         return out
 
+    def _flags(self) -> list:
+        """Aggregates of a group: size, and whether it has two splits and two labels. Of fixed size, however many labels a group has."""
+        out = [F.count("*").alias("size")]
+        for c, name in ((self.split_col, "splits"), (self.label_col, "labels")):
+            if c:
+                text = canon(self.df, c).cast("string")
+                out.append(F.coalesce(F.min(text) != F.max(text), F.lit(False)).alias(f"two_{name}"))
+        return out
+
     def _groups(self) -> DataFrame:
         return self.df.groupBy(*self._keys()).agg(*self._sets())
 
@@ -124,6 +133,10 @@ class ExactDuplicates(Analyzer):
         extra = []
         for c, of, count, rate in ((self.split_col, "splits", "cross_split_groups", "cross_split_rate_of_groups"), (self.label_col, "labels", "conflicting_groups", "conflict_rate_of_groups")):
             if c:
-                hit = F.count_if(many & (F.size(of) > 1))
+                hit = F.count_if(many & F.col(f"two_{of}"))
                 extra += [hit.alias(count), F.when(F.count_if(many) > 0, hit / F.count_if(many)).otherwise(F.lit(0.0)).alias(rate)]
-        return self._report(self._groups(), extra)
+        return self._report(self.df.groupBy(*self._keys()).agg(*self._flags()), extra)
+
+    def flagged_groups(self) -> DataFrame:
+        """size, and two_splits and two_labels where the columns are given, of duplicate groups; no ids and no lists."""
+        return self.df.groupBy(*self._keys()).agg(*self._flags()).where("size > 1").drop(*self._names())

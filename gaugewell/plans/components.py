@@ -1,8 +1,8 @@
 """Connected components as alternating large-star and small-star steps.
 
 Each step is a grouping and a join on vertices; what a step leaves is written to the
-shared folder, which cuts the lineage. The number of rounds grows with the logarithm of
-the graph's size. No links or components come to the driver.
+shared folder, which cuts the lineage, and what it read is deleted. The number of rounds
+grows with the logarithm of the graph's size. No links or components come to the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.sources.shared import materialise
+from gaugewell.sources.shared import discard, materialise
 
 
 def _toward_least(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,15 @@ def _toward_least(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component) of every vertex that has a link; component is its least vertex."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    seen = None
+    seen = before = None
     while True:
         edges = materialise(edges, "components")
+        if before is not None:
+            discard(before)
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen = state
+        seen, before = state, edges
         edges = _toward_least(edges)
-    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionAll(
-        edges.select(F.col("v").alias("vertex"), F.col("v").alias("component"))
-    ).distinct()
+    # stars now: each u has one edge, to its component's least vertex
+    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())

@@ -1,4 +1,4 @@
-"""Global ranks without a single-task window."""
+"""Global ranks and quantiles without a single-task window."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gaugewell.sources.shared import materialise
 
+#: Cells of a histogram, and rows that come to the driver at most.
+CELLS, FEW = 4096, 10_000
+
 
 def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its row number (from 0) in the given order; the order should have no ties.
@@ -22,3 +25,42 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = sizes.select("__part", (F.sum("__n").over(before) - F.col("__n")).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return dealt.withColumn("__own", own).join(F.broadcast(sizes), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of a column of doubles, linearly interpolated; nulls don't count.
+
+    The range that holds a quantile is narrowed by histograms of CELLS cells, until no more
+    than FEW rows or one value are in it; only counts and those rows come to the driver.
+    """
+    df = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    finite = F.col("x") > float("-inf")
+    n, none, low, high = df.agg(F.count("*"), F.count_if(~finite), F.min(F.when(finite, F.col("x"))), F.max("x")).first()
+    if not n:
+        return [None for _ in shares]
+
+    def at(k: int) -> float:
+        """The k-th value from 0 on."""
+        if k < none:
+            return float("-inf")
+        a, b, before, inside = low, high, none, n - none
+        while inside > FEW and (width := b / CELLS - a / CELLS) > 0:
+            part = df.where((F.col("x") >= a) & (F.col("x") <= b))
+            cell = F.least(F.lit(CELLS - 1), F.floor((F.col("x") - F.lit(a)) / F.lit(width))).cast("int")
+            for r in part.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("c").collect():
+                if before + r["n"] > k:
+                    a, b, inside = r["a"], r["b"], r["n"]
+                    break
+                before += r["n"]
+        if a == b:
+            return a
+        rows = sorted(r[0] for r in df.where((F.col("x") >= a) & (F.col("x") <= b)).collect())
+        return rows[k - before]
+
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        k = int(place)
+        value = at(k)
+        out.append(value if place == k else (1 - (place - k)) * value + (place - k) * at(k + 1))
+    return out

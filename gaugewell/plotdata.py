@@ -19,12 +19,16 @@ def group_sizes(dups, top_n: int = 20) -> DataFrame:
 
 def groups_by_split(dups) -> DataFrame:
     """part, rows: duplicate groups within a split and across splits."""
-    return _two(dups.cross_split_overlap(), F.col("is_cross_split"), "cross_split", "within_split")
+    if not dups.split_col:
+        raise ValueError("groups_by_split needs split_col")
+    return _two(dups.flagged_groups(), F.col("two_splits"), "cross_split", "within_split")
 
 
 def groups_by_conflict(dups) -> DataFrame:
     """part, rows: duplicate groups with conflicting and with consistent labels."""
-    return _two(dups.label_conflicts(), F.col("has_conflict"), "conflicting", "consistent")
+    if not dups.label_col:
+        raise ValueError("groups_by_conflict needs label_col")
+    return _two(dups.flagged_groups(), F.col("two_labels"), "conflicting", "consistent")
 
 
 def low_density_share(density) -> DataFrame:

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Intermediate tables that are left, by application.
+_LEFT: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,11 +40,31 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until discard() or clean(): results that are read from it later need it.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _LEFT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gaugewell_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a DataFrame of materialise() that nothing reads any more."""
+    _LEFT.get(df.sparkSession.sparkContext.applicationId, set()).discard(df._gaugewell_path)
+    remove(df.sparkSession, df._gaugewell_path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application, when its results have been read; their number."""
+    paths = _LEFT.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def remove(spark: SparkSession, path: str) -> None:

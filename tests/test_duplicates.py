@@ -141,3 +141,31 @@ def test_ratio(spark):
     df = spark.createDataFrame([(i, "k" if i < 3 else f"o{i}") for i in range(6)], "id long, c string")
     r = NearDuplicates(df, "id", categorical_cols=["c"]).near_vs_exact_ratio(ExactDuplicates(df, id_col="id")).first()
     assert tuple(r) == (3, 3, 1.0)
+
+
+def test_quantiles(spark, monkeypatch):
+    import numpy as np
+
+    from gaugewell.plans import ranking
+
+    monkeypatch.setattr(ranking, "FEW", 10)
+    monkeypatch.setattr(ranking, "CELLS", 16)
+    rnd = np.random.default_rng(2)
+    for values in (rnd.normal(size=2001), np.repeat([1.0, 2.0], 300), np.concatenate([rnd.normal(size=300) * 1e-9, [1e9, -1e9]]), np.array([5.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+        shares = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+        assert ranking.quantiles(df, "x", shares) == pytest.approx([float(np.quantile(values, s)) for s in shares], rel=1e-12, abs=1e-18)
+    assert ranking.quantiles(df.where("x > 9"), "x", [0.5]) == [None]
+
+
+def test_intermediate_tables_go(spark):
+    import os
+
+    from gaugewell.sources.shared import clean, materialise, shared_dir
+
+    clean(spark)
+    kept = materialise(spark.range(5), "kept")
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in connected_components(links).collect()} == {0}
+    assert clean(spark) == 2  # the last round's and the one above
+    assert not os.path.exists(kept._gaugewell_path) and os.path.isdir(shared_dir(spark))

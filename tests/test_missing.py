@@ -113,3 +113,29 @@ def test_average_linkage():
     assert cut(merges, 4, 2) == [0, 0, 1, 1] and cut(merges, 4, 1) == [0, 0, 0, 0]
     assert cut(merges, 4, 3) == [0, 0, 1, 1]  # equal heights merge together
     assert cut(merges, 4, 4) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("metric", ["hamming", "jaccard", "cityblock", "euclidean"])
+def test_average_linkage_by_definition(metric):
+    """Every merge joins the two clusters whose members are closest in the mean over all pairs."""
+    import itertools
+
+    import numpy as np
+
+    from gaugewell.operators.clusters import average_linkage
+
+    one = {
+        "hamming": lambda a, b: sum(x != y for x, y in zip(a, b)) / len(a),
+        "jaccard": lambda a, b: sum(x != y for x, y in zip(a, b)) / max(1, sum(x or y for x, y in zip(a, b))),
+        "cityblock": lambda a, b: sum(abs(x - y) for x, y in zip(a, b)),
+        "euclidean": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5,
+    }[metric]
+    rnd = np.random.default_rng(7)
+    points = np.unique(rnd.integers(0, 2, (14, 6)), axis=0)
+    members = {i: [i] for i in range(len(points))}
+    apart = lambda p, q: np.mean([one(points[a].tolist(), points[b].tolist()) for a in members[p] for b in members[q]])
+    for k, (a, b, height, size) in enumerate(average_linkage(points, metric)):
+        least = min(apart(p, q) for p, q in itertools.combinations(members, 2))
+        assert height == pytest.approx(least) == pytest.approx(apart(int(a), int(b)))
+        members[len(points) + k] = members.pop(int(a)) + members.pop(int(b))
+        assert size == len(members[len(points) + k])
