@@ -32,6 +32,9 @@ BLOCK = 8192
 POINT_BLOCK = 1024
 #: Rows that mixtures are fitted on where sample_for_fit is None.
 MIXTURE_SAMPLE = 50_000
+#: Parts of a cell's side, and what rounding may add to a length.
+CELL_PARTS = 4
+SLACK = 1e-9
 
 
 def _log_ball(d: int) -> float:
@@ -99,8 +102,61 @@ def gmm_log_density(points: np.ndarray, weights, means, covariances) -> np.ndarr
 def dbscan(points: DataFrame, dims: list[str], eps: float, min_samples: int) -> DataFrame:
     """(id, region) of rows (id, dims...): region 0, 1, ... by least core id; noise is left out.
 
-    Rows meet in cells of width eps of up to three dimensions: whoever is within eps lies
-    in a neighbouring cell.
+    In up to three dimensions rows meet in cells so small that the rows of one are all
+    within eps of each other: a cell of min_samples rows is all core and one region, and no
+    pairs of its rows are made. Cells are joined where two of their parts, with core rows
+    in both, lie within eps as a whole; rows are compared only between parts that may be
+    close, of cells that this leaves in different regions. The answer is exact.
+    """
+    if len(dims) > 3:
+        return _dbscan_pairs(points, dims, eps, min_samples)
+    d = len(dims)
+    side = eps / math.sqrt(d) * (1 - SLACK)
+    part, reach = side / CELL_PARTS, math.ceil(eps / side)
+    place = lambda width: F.array(*[F.floor(F.col(c) / F.lit(width)) for c in dims])
+    own = points.select("id", *dims, place(side).alias("cell"), place(part).alias("part"))
+    sized = materialise(own.join(own.groupBy("cell").agg(F.count("*").alias("n")), "cell"), "dbscan-cells")
+    steps = F.array(*[F.array(*[F.lit(s - reach) for s in step]) for step in np.ndindex(*[2 * reach + 1] * d)])
+
+    def met(some: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows of some beside those of others, under names with o_, in cells that eps may reach."""
+        around = some.withColumn("step", F.explode(steps)).withColumn("at", F.zip_with("cell", "step", lambda c, x: c + x)).drop("step")
+        return around.join(others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns]), F.col("at") == F.col("o_cell"))
+
+    close = F.sqrt(sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in dims), F.lit(0.0))) <= eps
+    sparse = sized.where(F.col("n") < min_samples).select("id", *dims, "cell", "part")
+    counted = met(sparse, sized.select("id", *dims, "cell")).where(close).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
+    core = materialise(sized.where(F.col("n") >= min_samples).select("id", *dims, "cell", "part").unionAll(sparse.join(counted, "id").select("id", *dims, "cell", "part")), "dbscan-core")
+
+    least = core.groupBy("cell").agg(F.min("id").alias("vertex"))
+    parts = materialise(core.select("cell", "part").distinct().join(least, "cell"), "dbscan-parts")
+    span = lambda more: F.aggregate(F.zip_with("part", "o_part", lambda x, y: F.greatest(F.abs(x - y) + more, F.lit(0)).cast("double")), F.lit(0.0), lambda t, x: t + x * x)
+    sure, maybe = span(1) <= (eps * (1 - SLACK) / part) ** 2, span(-1) <= (eps * (1 + SLACK) / part) ** 2
+    beside = met(parts, parts).where(F.col("vertex") < F.col("o_vertex"))
+    found = connected_components(beside.where(sure).select("vertex", "o_vertex").distinct(), "vertex", "o_vertex")
+    named = least.join(found, "vertex", "left").select("cell", F.coalesce("component", "vertex").alias("component"))
+    left, right = named.withColumnRenamed("cell", "l_cell"), named.select(F.col("cell").alias("r_cell"), F.col("component").alias("o_component"))
+    apart = beside.where(maybe & ~sure).join(left, F.col("cell") == F.col("l_cell")).join(right, F.col("o_cell") == F.col("r_cell")).where("component <> o_component")
+    rows = core.select(*dims, F.col("cell").alias("p_cell"), F.col("part").alias("p_part"))
+    others = core.select(*[F.col(c).alias(f"o_{c}") for c in dims], F.col("cell").alias("q_cell"), F.col("part").alias("q_part"))
+    apart = apart.select("cell", "part", "o_cell", "o_part", "component", "o_component")
+    apart = apart.join(rows, (F.col("cell") == F.col("p_cell")) & (F.col("part") == F.col("p_part"))).join(others, (F.col("o_cell") == F.col("q_cell")) & (F.col("o_part") == F.col("q_part")))
+    more = materialise(apart.where(close).select("component", "o_component").distinct(), "dbscan-more")
+    if more.take(1):
+        joined = connected_components(more, "component", "o_component").select(F.col("vertex").alias("v"), F.col("component").alias("whole"))
+        named = named.join(joined, F.col("component") == F.col("v"), "left").select("cell", F.coalesce("whole", "component").alias("component"))
+
+    region = with_rank(named.select("component").distinct(), [F.col("component")], "region")
+    inside = materialise(core.join(named.join(region, "component").select("cell", "region"), "cell").select("id", *dims, "cell", "region"), "dbscan-regions")
+    border = met(sparse.join(inside.select("id"), "id", "left_anti").select("id", *dims, "cell"), inside).where(close).groupBy("id").agg(F.min("o_region").alias("region"))
+    return inside.select("id", "region").unionAll(border)
+
+
+def _dbscan_pairs(points: DataFrame, dims: list[str], eps: float, min_samples: int) -> DataFrame:
+    """dbscan() over more dimensions: all pairs within eps are made.
+
+    Rows meet in cells of width eps of the first three dimensions: whoever is within eps
+    lies in a neighbouring cell.
     """
     grid = dims[:3]
     cell = [F.floor(F.col(c) / eps) for c in grid]

@@ -45,6 +45,19 @@ def test_dbscan(spark, d, seed):
     assert got == plain_dbscan(points, 0.4, 4)
 
 
+@pytest.mark.parametrize("d,seed,spread,eps", [(1, 5, 0.05, 0.1), (2, 6, 0.25, 0.3), (2, 7, 0.02, 0.5), (3, 8, 0.3, 0.45)])
+def test_dbscan_of_dense_cells(spark, d, seed, spread, eps):
+    """Cells of many rows, chains of cells, copies, and borders between regions."""
+    rnd = np.random.default_rng(seed)
+    line = np.cumsum(rnd.uniform(0.5 * eps, 1.05 * eps, (60, 1)) / d**0.5 * np.ones(d), axis=0)
+    centres = rnd.uniform(-2, 2, (6, d))
+    rows = np.concatenate([line, centres[rnd.integers(0, 6, 300)] + rnd.normal(0, spread, (300, d)), np.repeat(centres[:1], 20, axis=0)])
+    points = {int(i): tuple(map(float, v)) for i, v in zip(rnd.permutation(len(rows)), rows)}
+    df = spark.createDataFrame([(i, *v) for i, v in points.items()], "id long, " + ", ".join(f"z{k} double" for k in range(d)))
+    got = dict(map(tuple, dbscan(df, [f"z{k}" for k in range(d)], eps, 4).collect()))
+    assert got == plain_dbscan(points, eps, 4)
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rnd = np.random.default_rng(3)
