@@ -278,7 +278,7 @@ class BpeCodec:
         return out
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.words) > 400_000:
+        if len(self.words) > 200_000:
             self.words = {}
         pieces = [self._pieces(c) for c in chunks]
         new = list(set(itertools.chain.from_iterable(pieces)).difference(self.words).difference(self.special.values()))
@@ -309,7 +309,7 @@ def _codec(spec: str):
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _CODECS:
         codec = BpeCodec(spec)
-        values = ChunkValues(lambda chunks, known: [np.array(i, dtype="<u4").tobytes() for i in codec.encode_chunks(chunks)], codec.lower, list(codec.special), 400_000)
+        values = ChunkValues(lambda chunks, known: [np.array(i, dtype="<u4").tobytes() for i in codec.encode_chunks(chunks)], codec.lower, list(codec.special), 250_000)
         _CODECS[key] = (codec, values, pa.array(list(map(str, range(len(codec.is_label)))), pa.large_string()))
     return _CODECS[key]
 

@@ -176,7 +176,7 @@ def _keys(words: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, key, registers, bands); the last two are null for a text without words."""
+    """Rows (doc_id, mark, key, registers, bands); the last three are null for a text without words. mark: a hash of the text."""
 
     def run(batches):
         for batch in batches:
@@ -194,14 +194,15 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array([k if s else None for k, s in zip(keys, some)], pa.binary()),
                         pa.array([r.tobytes() if s else None for r, s in zip(short, some)], pa.binary()),
                         pa.array([x if s else None for x, s in zip(bands.view(np.int64).tolist(), some)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "key", "registers", "bands"],
+                    names=["doc_id", "mark", "key", "registers", "bands"],
                 )
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, key binary, registers binary, bands array<long>")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(F.col(text_col))).mapInArrow(run, "doc_id long, mark long, key binary, registers binary, bands array<long>")
 
 
 def weighted_sets(df: DataFrame) -> DataFrame:
@@ -399,8 +400,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (least id of its copies), component_id (least id of its group), kept (is it that one)."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: bool = False) -> DataFrame:
+    """Per row: id, class_id (least id of its copies), component_id (least id of its group), kept (is it that one).
+
+    Where two texts of a group share its least id, the rows of one are kept. names adds mark
+    (xxhash64 of the text) and key (of its words), which tell rows of one id apart.
+    """
     bounded_batches(df.sparkSession)
     docs = materialise(sketches(df, id_col, text_col), "near-sketches")
     # equal words have equal registers, so any row's will do; copies are folded before they are sent
@@ -427,16 +432,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # what the first links joined stands as links to the least vertex of each component
     found = connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionAll(more))
 
-    linked = found.select(F.col("vertex").alias("rep"), "component").join(classes.select("rep", F.col("doc_id").alias("least")).hint("merge"), "rep")
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least.hint("merge"), "component").select("rep", "component_id")
-    group = classes.join(linked.hint("merge"), "rep", "left").select(F.col("key").alias("k"), F.col("doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    named = docs.where("key IS NOT NULL").join(group.hint("merge"), F.col("key") == F.col("k"), "left").select("doc_id", "class_id", "component_id")
-    wordless = docs.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    linked = found.select(F.col("vertex").alias("rep"), "component").join(classes.select("rep", F.struct(F.col("doc_id").alias("id"), "key").alias("least")).hint("merge"), "rep")
+    least = linked.groupBy("component").agg(F.min("least").alias("least"))
+    linked = linked.select("rep", "component").join(least.hint("merge"), "component").select("rep", "least")
+    own = F.struct(F.col("doc_id").alias("id"), "key")
+    group = classes.join(linked.hint("merge"), "rep", "left").select(F.col("key").alias("k"), F.col("doc_id").alias("class_id"), F.coalesce("least", own).alias("least"))
+    group = group.select("k", "class_id", F.col("least.id").alias("component_id"), (F.col("least.key") == F.col("k")).alias("first"))
+    named = docs.where("key IS NOT NULL").join(group.hint("merge"), F.col("key") == F.col("k"), "left").select("doc_id", "mark", "key", "class_id", "component_id", "first")
+    wordless = docs.where("key IS NULL").select("doc_id", "mark", "key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     known = F.col("doc_id").isNotNull()
     return named.unionAll(wordless).select(
         F.col("doc_id").alias(id_col),
         F.when(known, F.col("class_id")).alias("class_id"),
         F.when(known, F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.coalesce((F.col("doc_id") == F.col("component_id")) & F.col("first"), F.lit(True)).alias("kept"),
+        *(["mark", "key"] if names else []),
     )
