@@ -2,7 +2,7 @@
 
 Every source's documents are put in a shuffled order and laid end to end; the stream
 is cut into blocks of equal numbers of words. The points frac(i * golden ratio), i = 0,
-1, ..., fall through the cumulative weights of the sources: point i gives slot i to a
+1, ... (in whole numbers, so that no fraction is lost), fall through the cumulative weights of the sources: point i gives slot i to a
 source. Slots are ranked per source, and the slot of rank r takes block r modulo the
 source's number of blocks. Golden-ratio points fill every interval evenly, so any
 stretch of the schedule mixes the sources in proportion, and each source's slots
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from gaugewell.sources.shared import materialise
 
-GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction in 2**-GOLDEN_BITS: its multiples stay exact up to 2**44 slots.
+GOLDEN_BITS = 40
+GOLDEN = 679535556991
 #: Weights in turn, by source in code-point order, null last.
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -71,13 +73,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     return w.select("src", "source_size", "weight", target.alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """Per row: id, size, source_size, target, taken."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.md5(F.coalesce(F.col(text_col), F.lit("~")))).cast("binary"))
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+def order_key(id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> Column:
+    """What the shuffled order goes by: of the id and the text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.md5(F.coalesce(F.col(text_col), F.lit("~")))).cast("binary"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = 17, key_col: str | None = None) -> DataFrame:
+    """Per row: id, size, source_size, target, taken; under the name key_col, if given, its order_key()."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), order_key(id_col, text_col, seed).alias("key"))
     docs = materialise(docs.withColumn("chunk", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ORDER_CHUNKS / 2**32).cast("int")), "mix-docs")
     sources = materialise(_schedule(targets(docs), block_words), "mix-sources")
-    return _taken(_places(docs, sources), _taken_blocks(sources), id_col)
+    out = _taken(_places(docs, sources), _taken_blocks(sources))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *([F.col("key").alias(key_col)] if key_col else []))
 
 
 def _schedule(sources: DataFrame, block_words: int) -> DataFrame:
@@ -103,7 +110,10 @@ def _taken_blocks(sources: DataFrame) -> DataFrame:
     chunks = n.where("n > 0").select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {SLOT_CHUNK})")).alias("slot_chunk"))
     chunks = chunks.repartition(F.col("slot_chunk"))
     slots = chunks.select("n_slots", "slot_chunk", F.explode(F.expr(f"sequence(slot_chunk * {SLOT_CHUNK}, least(n, (slot_chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("slot"))
-    slots = slots.select("n_slots", "slot_chunk", "slot", (F.pmod(F.col("slot") * F.lit(GOLDEN), F.lit(1.0)) * F.col("n_slots")).alias("point"))
+    # slot * GOLDEN modulo 2**GOLDEN_BITS, by halves that don't overflow
+    whole = 1 << GOLDEN_BITS
+    turn = F.expr(f"pmod(pmod((slot >> 22) * {GOLDEN}L, {whole}L) * {1 << 22}L + (slot & {(1 << 22) - 1}L) * {GOLDEN}L, {whole}L)")
+    slots = slots.select("n_slots", "slot_chunk", "slot", (turn / float(whole) * F.col("n_slots")).alias("point"))
     cell = lambda c: F.least(F.lit(CELLS - 1).cast("long"), F.floor(c / F.col("n_slots") * CELLS))
     slots = slots.select("slot_chunk", "slot", "point", cell(F.col("point")).alias("cell"))
     # a point meets only the sources whose interval reaches into its cell
@@ -127,19 +137,20 @@ def _places(docs: DataFrame, sources: DataFrame) -> DataFrame:
     placed = docs.select("*", F.row_number().over(in_chunk).alias("nth"), F.sum("size").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     placed = placed.join(before, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("chunk") == F.col("b_chunk")))
     to = F.col("before") + F.col("upto")
-    return placed.select("id", "src", "chunk", "nth", "size", "source_size", "target", "block_size", "longer", (to - F.col("size")).alias("from"), to.alias("to"))
+    return placed.select("id", "key", "src", "chunk", "nth", "size", "source_size", "target", "block_size", "longer", (to - F.col("size")).alias("from"), to.alias("to"))
 
 
-def _taken(places: DataFrame, per_block: DataFrame, id_col: str) -> DataFrame:
+def _taken(places: DataFrame, per_block: DataFrame) -> DataFrame:
     """The first ``longer`` blocks hold a word more than the others."""
     start = lambda b: b * F.col("block_size") + F.least(b, F.col("longer"))
     block = "CASE WHEN {w} < longer * (block_size + 1) THEN {w} div (block_size + 1) ELSE longer + ({w} - longer * (block_size + 1)) div block_size END"
     some = places.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence({block.format(w='`from`')}, {block.format(w='(`to` - 1)')})")))
     some = some.withColumn("words", F.least("to", start(F.col("block") + 1)) - F.greatest("from", start(F.col("block"))))
-    some = some.join(per_block, F.col("src").eqNullSafe(F.col("t_src")) & (F.col("block") == F.col("t_block")), "left")
-    out = some.groupBy("id", "src", "chunk", "nth", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+    # the blocks grow with the words: joined alike at every size
+    some = some.join(per_block.hint("merge"), F.col("src").eqNullSafe(F.col("t_src")) & (F.col("block") == F.col("t_block")), "left")
+    out = some.groupBy("id", "key", "src", "chunk", "nth", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     none = places.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    cols = [F.col("id").alias(id_col), "size", "source_size", "target", "taken"]
+    cols = ["id", "key", "size", "source_size", "target", "taken"]
     return out.select(cols).unionAll(none.select(cols))
 
 
@@ -156,7 +167,7 @@ t AS (SELECT src, source_size, least(ceiling, coalesce((SELECT arg_min(share, ce
 b AS (SELECT *, least(source_size, greatest(ceil(source_size / {block_words}::DOUBLE), {LEAST_BLOCKS}))::BIGINT AS n_blocks FROM t),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN target * n_blocks / source_size ELSE 0 END AS slots FROM b),
 i AS (SELECT *, source_size // greatest(n_blocks, 1) AS q, source_size % greatest(n_blocks, 1) AS m, sum(slots) OVER (ORDER BY src NULLS LAST) AS high, sum(slots) OVER () AS n_slots FROM s),
-p AS (SELECT slot, (slot * {GOLDEN}::DOUBLE) % 1.0::DOUBLE * n AS point FROM (SELECT unnest(range(round(n)::BIGINT)) AS slot, n FROM (SELECT max(high) AS n FROM i))),
+p AS (SELECT slot, ((slot::HUGEINT * {GOLDEN}) % {1 << GOLDEN_BITS})::DOUBLE / {1 << GOLDEN_BITS}::DOUBLE * n AS point FROM (SELECT unnest(range(round(n)::BIGINT)) AS slot, n FROM (SELECT max(high) AS n FROM i))),
 r AS (SELECT src, n_blocks, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS r
     FROM p JOIN (SELECT src, n_blocks, high - slots AS low, CASE WHEN high = (SELECT max(high) FROM i) THEN 'infinity'::DOUBLE ELSE high END AS upper FROM i WHERE slots > 0)
     ON point >= low AND point < upper),
