@@ -48,7 +48,7 @@ ADDED = 0.5
 PRIOR = 4.0
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$"
 #: Characters and texts of a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 5_000_000
 CHUNK_TEXTS = 20_000
 #: Tokens of the corpus for each range of keys, and the keys' width.
 RANGE_TOKENS = 2_000_000

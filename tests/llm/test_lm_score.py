@@ -71,7 +71,7 @@ def compared(docs, got, target_ids):
             assert by[d].target_loss is None and by[d].score is None and by[d].corpus_loss is None
 
 
-@pytest.mark.parametrize("chunk", [8_000_000, 40])
+@pytest.mark.parametrize("chunk", [5_000_000, 40])
 def test_against_plain_models(spark, monkeypatch, chunk):
     monkeypatch.setattr(lm_score, "CHUNK_CHARS", chunk)
     monkeypatch.setattr(lm_score, "RANGE_TOKENS", chunk)

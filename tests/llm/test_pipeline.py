@@ -88,3 +88,21 @@ def test_edge_and_empty(spark, edge, empty):
         for _, stage in corpus_pipeline.STAGES:
             rows = materialise(stage(spark, rows, ""), "edge")
         assert (rows.count() > 0) == (docs is edge)
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    words = [" ".join(f"{k}{i}" for i in range(60)) for k in "xyz"]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1] + " "), (2, words[0] + " end"), (3, words[1] + " end"), (4, words[2]), (4, words[2]), (None, words[2]), (0, words[1] + " and")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in left) == sorted([(1, words[0]), (0, words[1] + " and"), (4, words[2]), (-1, words[2])])
+    assert [r.source for r in left if r.doc_id == 4] == ["s5"]
+
+
+def test_null_ids_are_mixed_one_by_one(spark):
+    rows = [(None if i % 2 else i, f"text {i} " + "word " * (5 + i % 40), "en", "abc"[i % 3], 9) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    times = Counter(r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    size = lambda t: len(t.split())
+    assert max(times.values()) <= 2
+    assert sum(size(t) * n for t, n in times.items()) == pytest.approx(1.5 * sum(size(r[1]) for r in rows), rel=0.1)
