@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm import bpe, language, mixing, near_dups, pii
 from gaugewell.llm.common import fresh
+from gaugewell.plans.bitmap import marked_among
 from gaugewell.sources.shared import materialise
 from gaugewell.sources.tables import table
 
@@ -32,13 +33,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, and one row of each id."""
-    groups = near_dups.near_duplicates(docs)
-    id_ = fresh(docs.columns, "id")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(id_)).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col(id_), "left_anti")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionAll(left.where("doc_id IS NULL")).select(docs.columns)
+    """One document of each group stays, and of rows that share an id and the words one row. Other texts of an id are documents of their own.
+
+    Documents whose id has nothing to drop stay where they are; the others, and few more
+    that a bitmap can't tell from them, are joined with the groups.
+    """
+    groups = materialise(near_dups.near_duplicates(docs, names=True).where("doc_id IS NOT NULL"), "stage-groups")
+    again = groups.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    touched = materialise(groups.where("NOT kept").select("doc_id").unionAll(again.select("doc_id")).distinct(), "stage-touched")
+    some, id_, mark, words, row = (fresh(docs.columns, c) for c in ("some", "id", "mark", "words", "row"))
+    marked = marked_among(docs, "doc_id", touched, "doc_id", some)
+    alone = marked.where(~F.col(some)).select(docs.columns)
+    kept = groups.where("kept").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("key").alias(words)).distinct()
+    left = marked.where(F.col(some)).join(kept.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(mark)))
+    one = left.groupBy(id_, words).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return alone.unionAll(one.select(docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +57,18 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: taken / size, rounded."""
-    id_, times, copy = (fresh(docs.columns, c) for c in ("id", "times", "copy"))
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias(id_), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
-    taken = taken.where(F.col(times) > 0).groupBy(id_).agg(F.max(times).alias(times))
-    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(id_)))
+    """Each document as often as the mix takes its words: taken / size, of which the fraction counts in that share of documents, by a hash."""
+    key, mine, times, copy = (fresh(docs.columns, c) for c in ("key", "mine", "times", "copy"))
+    taken = mixing.mix(docs, key_col=key).where("taken > 0")
+    share = F.pmod(F.xxhash64(F.lit("times"), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
+    taken = taken.select(F.col(key), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + share).cast("int").alias(times)).where(F.col(times) > 0)
+    taken = taken.groupBy(key).agg(F.max(times).alias(times))  # rows that repeat lie side by side
+    repeated = docs.withColumn(mine, mixing.order_key()).join(taken, F.col(mine) == F.col(key))
     return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document (unsigned 32-bit, little-endian), their digests, and whether they decode to a text of the same ids."""
+    """Ids of each document (unsigned 32-bit, little-endian), their number, and the digest of the text that they decode to."""
     out = bpe.encode(docs.select("doc_id", "text"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
