@@ -301,7 +301,6 @@ class DensityEstimate(Analyzer):
         spark, d = df.sparkSession, len(self.columns)
         mean, std, h, n, kernel = self.mean, self.std, self._h, self._n, self.kernel
         names = [*df.columns, "log_density"]
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))  # a joined row holds two blocks
 
         def pack(batches):
             at = TaskContext.get().partitionId() << 32

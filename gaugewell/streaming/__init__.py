@@ -1 +1 @@
-"""Streaming forms of the reports whose sums are additive."""
+"""Reports on streams: what can be added up batch by batch."""
