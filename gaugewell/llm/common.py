@@ -17,9 +17,12 @@ BATCH_BYTES = 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session. A single text may still be larger than a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lower the bounds of this session's Arrow batches to BATCH_ROWS and BATCH_BYTES; lower ones stay. They hold for lazy results too, so they aren't taken back. A single text may still be larger than a batch."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"-?\d+", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= most or not spark.conf.get(key).rstrip("b").isdigit():
+            spark.conf.set(key, str(most))
 
 
 def default_tokenizer() -> str:
