@@ -390,9 +390,15 @@ class DensityEstimate(Analyzer):
         z = rows.select("id", *[((F.col(f"x{i}") - F.lit(float(self.mean[i]))) / F.lit(float(self.std[i]))).alias(f"z{i}") for i in range(len(self.columns))])
         d = len(self.columns)
         sums = z.agg(*[F.covar_pop(f"z{i}", f"z{j}").alias(f"c{i}_{j}") for i in range(d) for j in range(d)]).first()
-        values, vectors = np.linalg.eigh(np.array([[sums[f"c{i}_{j}"] for j in range(d)] for i in range(d)]))
+        cov = np.array([[sums[f"c{i}_{j}"] for j in range(d)] for i in range(d)])
+        # z-scores have deviation 1 (or 0) but for rounding, which would turn axes that nearly tie
+        root = np.where(np.diag(cov) > 0.5, np.sqrt(np.diag(cov)), 1.0)
+        values, vectors = np.linalg.eigh(cov / root / root[:, None])
         order = np.argsort(-values)[:2]
-        plane = vectors[:, order] * np.where(vectors[np.abs(vectors[:, order]).argmax(axis=0), order] < 0, -1, 1)
+        plane = vectors[:, order]
+        # an axis points to where its largest part is positive, the first of those that tie
+        size = np.abs(plane)
+        plane = plane * np.where(plane[(size > size.max(axis=0) * (1 - 1e-9)).argmax(axis=0), [0, 1]] < 0, -1, 1)
         points = z.select("id", *[sum((F.col(f"z{i}") * F.lit(float(plane[i, k])) for i in range(d)), F.lit(0.0)).alias(f"pc{k + 1}") for k in range(2)])
         on_plane = DensityEstimate(points, "id", ["pc1", "pc2"], sample_for_fit=self.sample_for_fit, random_state=self.random_state)
         return {"points": points, "explained_variance": (values[order] / max(values.sum(), 1e-300)).tolist(), "grid": on_plane.density_grid(("pc1", "pc2"), resolution, padding)}

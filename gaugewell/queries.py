@@ -305,14 +305,49 @@ def cluster_pattern_chart(spark, d):
     return plotdata.pattern(MissingnessClusters(view(spark, d, "m_orders"), "rid"), top_n=5)
 
 
-@_query("cluster_hierarchical")
+def _merges_sql():
+    """Average linkage of m_lineitem's signatures, a merge at a time: slots (d: distances, s: names and sizes, o: where each signature is) after k merges, and the merges m."""
+    vary = LINE_VARY
+    most = 2 ** len(vary) - 1
+    sig = " || ".join(f"({c} IS NULL)::INT" for c in vary)
+    apart = " + ".join(f"(x.g[{i + 1}] <> y.g[{i + 1}])::INT" for i in range(len(vary)))
+    parts = [
+        f"g AS MATERIALIZED (SELECT {sig} AS g, count(*) AS rows FROM m_lineitem GROUP BY 1)",
+        "n AS MATERIALIZED (SELECT g, rows, row_number() OVER (ORDER BY g) - 1 AS slot, count(*) OVER () AS n FROM g)",
+        f"d0 AS MATERIALIZED (SELECT x.slot AS a, y.slot AS b, ({apart}) / {len(vary)}::DOUBLE AS d FROM n x JOIN n y ON x.slot <> y.slot)",
+        "s0 AS MATERIALIZED (SELECT slot, slot AS name, 1::DOUBLE AS size FROM n)",
+        "o0 AS MATERIALIZED (SELECT g, slot AS spot FROM n)",
+    ]
+    for k in range(most):
+        parts += [
+            f"m{k} AS MATERIALIZED (SELECT a, b, d, x.name AS p, y.name AS q, x.size AS u, y.size AS v FROM d{k} JOIN s{k} x ON x.slot = a JOIN s{k} y ON y.slot = b ORDER BY d, a, b LIMIT 1)",
+            f"""d{k + 1} AS MATERIALIZED (SELECT t.a, t.b, CASE WHEN t.a = m.a OR t.b = m.a THEN (m.u * t.d + m.v * r.d) / (m.u + m.v) ELSE t.d END AS d
+  FROM d{k} t CROSS JOIN m{k} m LEFT JOIN d{k} r ON r.a = m.b AND r.b = CASE WHEN t.a = m.a THEN t.b ELSE t.a END WHERE t.a <> m.b AND t.b <> m.b)""",
+            f"s{k + 1} AS MATERIALIZED (SELECT slot, CASE WHEN slot = m.a THEN (SELECT any_value(n) FROM n) + {k} ELSE name END AS name, CASE WHEN slot = m.a THEN m.u + m.v ELSE size END AS size FROM s{k} CROSS JOIN m{k} m WHERE slot <> m.b)",
+            f"o{k + 1} AS MATERIALIZED (SELECT g, CASE WHEN spot = m.b THEN m.a ELSE spot END AS spot FROM o{k} CROSS JOIN m{k} m)",
+        ]
+    parts.append("merges AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM m{k}" for k in range(most)) + ")")
+    return f"{_with('m_lineitem')}, " + ", ".join(parts), most
+
+
+_MERGES, _MOST = _merges_sql()
+_MISSES = "concat_ws(',', " + ", ".join(f"CASE WHEN sum(rows) FILTER (g[{i + 1}] = '1') / sum(rows) > 0.5 THEN '{c}' END" for i, c in enumerate(LINE_VARY)) + ")"
+
+
+@_query(
+    "cluster_hierarchical",
+    f"""{_MERGES}, stop AS (SELECT coalesce(min(k) FILTER (n - k <= 6 AND d > before), max(k) + 1) AS k FROM (SELECT k, d, lag(d) OVER (ORDER BY k) AS before, (SELECT any_value(n) FROM n) AS n FROM merges)),
+o AS ({" UNION ALL ".join(f"SELECT {k} AS k, * FROM o{k}" for k in range(_MOST + 1))}),
+c AS (SELECT spot, sum(rows)::BIGINT AS size, sum(rows) / (SELECT sum(rows) FROM n) AS rate, {_MISSES} AS missing_columns FROM o JOIN n USING (g) WHERE k = (SELECT k FROM stop) GROUP BY spot)
+SELECT (row_number() OVER (ORDER BY size DESC, spot) - 1)::INT AS cluster_id, size, rate, CASE WHEN missing_columns = '' THEN 0 ELSE len(string_split(missing_columns, ',')) END::INT AS n_missing_cols, missing_columns FROM c""",
+)
 def cluster_hierarchical(spark, d):
     return MissingnessClusters(view(spark, d, "m_lineitem")).clusters("hierarchical", k=6).table.withColumn("missing_columns", F.array_join("missing_columns", ","))
 
 
-@_query("cluster_dendrogram")
+@_query("cluster_dendrogram", f"{_MERGES} SELECT least(p, q)::INT AS a, greatest(p, q)::INT AS b, round(d, {PLACES}) AS height, (u + v)::INT AS size FROM merges")
 def cluster_dendrogram(spark, d):
-    return plotdata.dendrogram(MissingnessClusters(view(spark, d, "m_lineitem")))
+    return _rounded(plotdata.dendrogram(MissingnessClusters(view(spark, d, "m_lineitem"))), "height")
 
 
 # exact duplicates
@@ -560,8 +595,8 @@ def kde_grid(spark, d):
     return _grid(_part_density(spark, d).density_grid(("p_size", "p_retailprice")))
 
 
-def _grid(out):
-    return out.select("i", "j", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("log_density", PLACES).alias("log_density"))
+def _grid(out, places=PLACES):
+    return out.select("i", "j", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("log_density", places).alias("log_density"))
 
 
 _POINTS = "SELECT p_size, p_retailprice FROM part ORDER BY md5('0|' || p_partkey), p_partkey LIMIT 2000"
@@ -659,6 +694,12 @@ def gmm_bic(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in fitted.bic.items()], "n_components int, bic double")
 
 
-@_query("pca_projection")
+#: Of two columns' z-scores the principal axes are the diagonals.
+_PLANE = """WITH base AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2, corr(p_size, p_retailprice) AS r FROM part),
+plane AS (SELECT (u + v) / sqrt(2) AS p, (u - v) / sqrt(2) AS q, r FROM (SELECT (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v, r FROM part, base)),
+pts AS (SELECT CASE WHEN r >= 0 THEN p ELSE q END AS p_size, CASE WHEN r >= 0 THEN q ELSE p END AS p_retailprice FROM plane),"""
+
+
+@_query("pca_projection", _PLANE + _GRID.removeprefix("WITH").replace("FROM part", "FROM pts").replace("round(log_density, 6)", "round(log_density, 4)"))
 def pca_projection(spark, d):
-    return _part_density(spark, d).density_projection()["grid"]
+    return _grid(_part_density(spark, d).density_projection()["grid"], 4)
