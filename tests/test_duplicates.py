@@ -118,6 +118,20 @@ def test_pruned_join_is_all_pairs(spark, p, c, threshold):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=6e-5) for k in got)
 
 
+@pytest.mark.parametrize("how", [dict(threshold=0.3, max_exact_rows=None), dict(threshold=0.9, method="lsh", block_cols=["c"])])
+def test_large_keys_in_blocks(spark, monkeypatch, how):
+    """One key holds a third of the rows, or all: dealt into blocks, the pairs are the same."""
+    from gaugewell.operators import near_dups
+
+    rows = [(i, float(i * 37 % 101), None if i % 3 else "hot" if i % 2 else f"k{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, n double, c string").repartition(3)
+    found = []
+    for block in (4096, 16):
+        monkeypatch.setattr(near_dups, "BLOCK", block)
+        found.append(sorted((r.row_i, r.row_j, r.similarity) for r in NearDuplicates(df, "id", ["n"], ["c"], **how).find_pairs().collect()))
+    assert found[0] == found[1] and len(found[0]) == len(set(found[0])) > 100
+
+
 def test_near_missing_values(spark):
     rows = [(1, 1.0, None), (2, 1.0, None), (3, None, None), (4, 2.0, "x")]
     got = NearDuplicates(spark.createDataFrame(rows, "id long, n double, c string"), "id", threshold=1.0).find_pairs().collect()
