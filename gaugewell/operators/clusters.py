@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.base import Analyzer, require_column
 from gaugewell.functions.missing import col, flag
+from gaugewell.plans.ranking import with_rank
 
 #: Signatures that hierarchical clustering takes to the driver at most.
 MOST_SIGNATURES = 5000
@@ -108,8 +109,7 @@ class MissingnessClusters(Analyzer):
         signatures = self.df.groupBy(self._signature().alias("signature")).agg(F.count("*").alias("rows"))
         linkage = None
         if method == "exact":
-            order = Window.orderBy(F.desc("rows"), "signature")
-            named = signatures.select("signature", "rows", (F.row_number().over(order) - 1).alias("cluster_id"))
+            named = with_rank(signatures, [F.desc("rows"), F.col("signature")], "cluster_id").select("signature", "rows", F.col("cluster_id").cast("int").alias("cluster_id"))
         else:
             got = signatures.orderBy("signature").limit(MOST_SIGNATURES + 1).collect()
             if len(got) < 2:
