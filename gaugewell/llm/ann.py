@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from gaugewell.llm.common import by_hash
 from gaugewell.llm.near_dups import groups_in
 from gaugewell.llm.vectors import matrix, unit, usable
-from gaugewell.sources.shared import materialise
+from gaugewell.sources.shared import discard, materialise
 
 CODEBOOKS = 16
 WORDS = 256
@@ -261,6 +261,8 @@ def nearest(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_c
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(near, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
     found = materialise(_met(index, blocks, n, blocks.count()).mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
+    for done in (vectors, classes, index, blocks):
+        discard(done)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

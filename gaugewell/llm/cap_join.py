@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gaugewell.llm.near_dups import groups_in
 from gaugewell.llm.vectors import matrix, unit, usable
 from gaugewell.plans.components import connected_components
-from gaugewell.sources.shared import materialise
+from gaugewell.sources.shared import discard, materialise
 
 THRESHOLD = 0.95
 ROTATIONS = 6
@@ -182,6 +182,8 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     own = materialise(answered, "cap-answers")
     ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     rest = _unusable(ids, vectors)
+    for done in (vectors, classes, reps, found):
+        discard(done)
     out = own.unionAll(rest)
     return out.select(
         F.col("vec_id").alias(id_col),

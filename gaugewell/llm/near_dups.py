@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from gaugewell.llm.common import bounded_batches, few_at_once, texts_of
 from gaugewell.plans.components import connected_components
 from gaugewell.plans.bitmap import maybe_among
-from gaugewell.sources.shared import materialise
+from gaugewell.sources.shared import discard, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -382,7 +382,9 @@ def _sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     named = materialise(classes.select("rep", "key", "doc_id").join(wanted.distinct().hint("merge"), "rep", "left_semi"), "near-wanted")
     maybe = maybe_among(texts, "doc_id", named, "doc_id")
     sets = weighted_sets(maybe).groupBy("key").agg(F.first("h").alias("h"), F.first("w").alias("w"))
-    return materialise(sets.join(named.select("key", "rep").hint("merge"), "key").select("rep", "h", "w"), "near-sets")
+    found = materialise(sets.join(named.select("key", "rep").hint("merge"), "key").select("rep", "h", "w"), "near-sets")
+    discard(named)
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -422,6 +424,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = _sets_of(first.select(F.col("a").alias("rep")).unionAll(first.select("b")), classes, texts)
     links = materialise(_verified(first, sets), "near-links")
     found = connected_components(links)
+    for done in (first, sets, links):
+        discard(done)
     # buckets of two are settled; of the others, those that join components that differ
     grouped = members.where("n > 2").join(found.withColumnRenamed("vertex", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     grouped = materialise(grouped.select("band", "rep", "n", "component"), "near-grouped")
@@ -431,6 +435,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = materialise(_links_inside(open_.join(sets.hint("merge"), "rep").select(*_UNIT, "h", "w").repartition("unit").sortWithinPartitions("unit")), "near-more")
     # what the first links joined stands as links to the least vertex of each component
     found = connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionAll(more))
+    for done in (members, grouped, open_, sets, more):
+        discard(done)
 
     linked = found.select(F.col("vertex").alias("rep"), "component").join(classes.select("rep", F.struct(F.col("doc_id").alias("id"), "key").alias("least")).hint("merge"), "rep")
     least = linked.groupBy("component").agg(F.min("least").alias("least"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.common import bounded_batches, most_frequent, texts_of
-from gaugewell.sources.shared import materialise
+from gaugewell.sources.shared import discard, materialise
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -98,7 +98,10 @@ def shared_identifiers(df: DataFrame, text_col: str = "text") -> list[str]:
     held = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")).mapInArrow(run, "w string, h long")
     copies = held.groupBy("w", "h").agg(F.count("*").alias("n"))
     counted = copies.groupBy("w").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    return most_frequent(materialise(counted.select("w", "texts"), "identifiers"), "w", "texts", IDENTIFIERS)
+    counted = materialise(counted.select("w", "texts"), "identifiers")
+    names = most_frequent(counted, "w", "texts", IDENTIFIERS)
+    discard(counted)
+    return names
 
 
 class Scanner:
