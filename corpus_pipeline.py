@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gaugewell.llm import bpe, language, mixing, near_dups, pii
 from gaugewell.llm.common import fresh
 from gaugewell.plans.bitmap import marked_among
-from gaugewell.sources.shared import materialise
+from gaugewell.sources.shared import discard, materialise
 from gaugewell.sources.tables import table
 
 
@@ -85,8 +85,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table goes when the next one's has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
