@@ -1,8 +1,11 @@
 """Density estimates and regions of low and high density.
 
 Kernel densities take mean, deviation and number from an aggregate over all rows, and
-the kernels' sums over all rows: blocks of points meet blocks of the table's z-scores.
-``sample_for_fit`` bounds them to a sample of so many rows where asked. Mixtures are
+the kernels' sums over all rows. Gaussian kernels over one or two columns are summed by
+cells: moments of a cell's rows are moved to the cells within reach and evaluated there
+(the fast Gauss transform), to rounding; points too far from all rows for that meet blocks
+of rows, pruned by distance. Other kernels and more columns: blocks of points meet all
+blocks of the table's z-scores. ``sample_for_fit`` bounds them to a sample of so many rows where asked. Mixtures are
 fitted on a bounded sample (MIXTURE_SAMPLE unless asked otherwise). Regions are density-based clusters of the rows
 beyond a quantile, found by joining neighbouring cells.
 """
@@ -22,7 +25,7 @@ from gaugewell.base import Analyzer, require_column
 from gaugewell.functions.missing import col, missing, number
 from gaugewell.plans.components import connected_components
 from gaugewell.plans.ranking import quantiles, with_rank
-from gaugewell.sources.shared import materialise
+from gaugewell.sources.shared import discard, materialise
 
 KERNELS = ("gaussian", "tophat", "epanechnikov", "exponential", "linear", "cosine")
 #: Points scored at once against the sample: bounds the memory to POINTS * sample doubles.
@@ -32,6 +35,10 @@ BLOCK = 8192
 POINT_BLOCK = 1024
 #: Rows that mixtures are fitted on where sample_for_fit is None.
 MIXTURE_SAMPLE = 50_000
+#: Side of a kernel cell in bandwidths, terms of its expansion in a dimension, cells of a tile's side, log of the share that may be lost.
+SIDE, ORDER, TILE, LOST = 0.5, 20, 64, 34.0
+#: Cells of a block's side where points meet rows one by one, points of such a block, cells a task holds sums of.
+NEAR, FEW_POINTS, HELD = 4, 256, 4096
 #: Parts of a cell's side, and what rounding may add to a length.
 CELL_PARTS = 4
 SLACK = 1e-9
@@ -61,8 +68,9 @@ def _log_norm(kernel: str, d: int) -> float:
     return sphere + math.log(float((0.5 * w * r ** (d - 1) * np.cos(0.5 * np.pi * r)).sum()))
 
 
-def kde_log_density(points: np.ndarray, sample: np.ndarray, h: float, kernel: str = "gaussian") -> np.ndarray:
+def kde_log_density(points: np.ndarray, sample: np.ndarray, h: float, kernel: str = "gaussian", weights: np.ndarray | None = None) -> np.ndarray:
     n, d = sample.shape
+    weights = np.ones(n) if weights is None else weights
     out = np.empty(len(points))
     for a in range(0, len(points), POINTS):
         q = points[a : a + POINTS]
@@ -84,8 +92,70 @@ def kde_log_density(points: np.ndarray, sample: np.ndarray, h: float, kernel: st
         top = e.max(axis=1, keepdims=True)
         safe = np.where(np.isfinite(top), top, 0.0)
         with np.errstate(divide="ignore"):
-            out[a : a + POINTS] = np.log(np.exp(e - safe).sum(axis=1)) + safe[:, 0]
-    return out - math.log(n) - d * math.log(h) - _log_norm(kernel, d)
+            out[a : a + POINTS] = np.log((np.exp(e - safe) * weights).sum(axis=1)) + safe[:, 0]
+    return out - math.log(weights.sum()) - d * math.log(h) - _log_norm(kernel, d)
+
+
+def moved(shift: float) -> np.ndarray:
+    """What turns moments sum w exp(-v^2 / 2) v^k about a centre into coefficients sum w exp(-y^2 / 2) y^j / j! about one that lies shift farther, y = v - shift."""
+    out = np.zeros((ORDER, ORDER))
+    for j in range(ORDER):
+        for k in range(ORDER):
+            out[j, k] = sum(math.comb(j, i) * (-shift) ** (j - i) * shift ** (k - i) / math.factorial(k - i) for i in range(min(j, k) + 1)) / math.factorial(j)
+    return out * math.exp(-0.5 * shift * shift)
+
+
+def cell_moments(v: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """sum w exp(-|v|^2 / 2) v^k of one- or two-dimensional rows, in bandwidths from the cell's centre."""
+    w, powers = weights * np.exp(-0.5 * (v * v).sum(axis=1)), [np.vander(x, ORDER, increasing=True) for x in v.T]
+    return w @ powers[0] if len(powers) == 1 else (powers[0] * w[:, None]).T @ powers[1]
+
+
+def cell_sums(v: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """The kernels' sums at points of a cell, from its coefficients."""
+    powers = [np.vander(x, ORDER, increasing=True) for x in v.T]
+    s = powers[0] @ coefficients if len(powers) == 1 else ((powers[0] @ coefficients.reshape(ORDER, ORDER)) * powers[1]).sum(axis=1)
+    return s * np.exp(-0.5 * (v * v).sum(axis=1))
+
+
+def tile_coefficients(cells: np.ndarray, moments: np.ndarray, wanted: np.ndarray, reach: int) -> np.ndarray:
+    """Coefficients of the wanted cells of a tile, all within TILE of each other, from moments of all cells within reach."""
+    d, low = wanted.shape[1], wanted.min(axis=0)
+    span = wanted.max(axis=0) - low + 1
+    inside = ((cells >= low - reach) & (cells < low + span + reach)).all(axis=1)
+    at = (cells[inside] - low + reach).T
+    x = np.zeros((*(span + 2 * reach), ORDER**d))
+    np.add.at(x, tuple(at), moments[inside])
+    shifts = [moved(-SIDE * step) for step in range(-reach, reach + 1)]
+    if d == 1:
+        return sum(x[a : a + span[0]] @ t.T for a, t in enumerate(shifts))[wanted[:, 0] - low[0]]
+    x = np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:2], ORDER, ORDER), 2, 0))  # order, cell, cell, order
+    x = sum(np.tensordot(t, x[:, a : a + span[0]], 1) for a, t in enumerate(shifts))
+    x = sum(x[:, :, a : a + span[1]] @ t.T for a, t in enumerate(shifts))
+    return np.moveaxis(x, 0, 2)[wanted[:, 0] - low[0], wanted[:, 1] - low[1]].reshape(len(wanted), -1)
+
+
+def _runs(keys: np.ndarray, most: int):
+    """(start, end) of the runs of equal keys, of most rows at most."""
+    cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+    for a, b in zip(cuts, cuts[1:]):
+        for start in range(a, b, most):
+            yield start, min(start + most, b)
+
+
+def _floats(batch, first: int, n: int) -> np.ndarray:
+    return np.column_stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(n)])
+
+
+def _packed(batch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes):
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def gmm_log_density(points: np.ndarray, weights, means, covariances) -> np.ndarray:
@@ -203,6 +273,8 @@ class DensityEstimate(Analyzer):
         self.df, self.id_col, self.columns, self.method, self.kernel = df, id_col, columns, method, kernel
         self.bandwidth, self.n_components, self.max_components, self.random_state, self.sample_for_fit = bandwidth, n_components, max_components, random_state, sample_for_fit
         self._model = None
+        self._moments: DataFrame | None = None
+        self._blocks: DataFrame | None = None
         self._density: DataFrame | None = None
         self._regions: dict = {}
         self._quantiles: dict[float, float] = {}
@@ -247,6 +319,12 @@ class DensityEstimate(Analyzer):
         std[std == 0] = 1.0
         self.mean, self.std, self.bic, self._n = mean, std, {}, sums[0]
         self._h = self.bandwidth or self._n ** (-1 / (d + 4))
+        if self.kernel == "gaussian" and d <= 2:
+            # equal rows are one of their number
+            counted = values.groupBy(*values.columns).agg(F.count("*").cast("double").alias("w"))
+            z, cells = self._cells(values.columns)
+            named = [c.alias(f"c{i}") for i, c in enumerate(cells)] + [c.alias(f"z{i}") for i, c in enumerate(z)]
+            return materialise(counted.select(*named, "w"), "density-values")
 
         def run(batches):
             for batch in batches:
@@ -286,7 +364,7 @@ class DensityEstimate(Analyzer):
         model, d = self._fit(), len(self.columns)
         names = [*df.columns, "log_density"]
         if isinstance(model, DataFrame):
-            return self._scored_whole(df, model)
+            return self._scored_cells(df, model) if self.kernel == "gaussian" and d <= 2 else self._scored_whole(df, model)
 
         def run(batches):
             for batch in batches:
@@ -299,38 +377,180 @@ class DensityEstimate(Analyzer):
     def _scored_whole(self, df: DataFrame, blocks: DataFrame) -> DataFrame:
         """_scored() against all rows: blocks of points meet every block of the table, then their sums are added."""
         spark, d = df.sparkSession, len(self.columns)
-        mean, std, h, n, kernel = self.mean, self.std, self._h, self._n, self.kernel
-        names = [*df.columns, "log_density"]
+        mean, std, h, kernel = self.mean, self.std, self._h, self.kernel
 
         def pack(batches):
             at = TaskContext.get().partitionId() << 32
             for batch in batches:
                 for a in range(0, batch.num_rows, POINT_BLOCK):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, batch.schema) as out:
-                        out.write_batch(batch.slice(a, POINT_BLOCK))
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["points", "batch"])
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([_packed(batch.slice(a, POINT_BLOCK))], pa.binary())], names=["points", "batch"])
                     at += 1
 
         def part(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    points = pa.ipc.open_stream(row["batch"]).read_next_batch()
-                    x = np.column_stack([points.column(points.num_columns - d + i).to_numpy(zero_copy_only=False) for i in range(d)])
-                    z = np.frombuffer(row["z"]).reshape(-1, d)
+                    points = _unpacked(row["batch"])
+                    x, z = _floats(points, points.num_columns - d, d), np.frombuffer(row["z"]).reshape(-1, d)
                     e = kde_log_density((x - mean) / std, z, h, kernel) + math.log(len(z))
                     yield pa.RecordBatch.from_arrays([pa.array([row["points"]], pa.int64()), pa.array([e.tobytes()], pa.binary())], names=["points", "e"])
 
+        packed = materialise(df.mapInArrow(pack, "points long, batch binary"), "density-points")
+        dealt = packed.repartition(spark.sparkContext.defaultParallelism, "points").crossJoin(blocks)
+        parts = dealt.select("points", "batch", "z").mapInArrow(part, "points long, e binary").groupBy("points").agg(F.sort_array(F.collect_list("e")).alias("parts"))
+        return self._added(df, packed, parts)
+
+    def _cells(self, columns) -> tuple[list, list]:
+        """z-scores of the columns, and their kernel cells."""
+        z = [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, self.mean, self.std)]
+        end = F.lit(float(1 << 40))
+        return z, [F.floor(F.greatest(-end, F.least(end, F.coalesce(x / F.lit(self._h * SIDE), F.lit(0.0))))).cast("long") for x in z]
+
+    def _scored_cells(self, df: DataFrame, values: DataFrame) -> DataFrame:
+        """_scored() with Gaussian kernels over one or two columns, by cells.
+
+        What is lost, by rows out of reach and by the expansions' ends, is under exp(-LOST)
+        of one kernel's height; points where all kernels make less than half of one meet
+        the rows themselves.
+        """
+        d, h, n, mean, std = len(self.columns), self._h, self._n, self.mean, self.std
+        reach = math.ceil(math.sqrt(2 * (math.log(n) + LOST)) / SIDE) + 1
+        cells, names = [f"c{i}" for i in range(d)], [*df.columns, "log_density"]
+        less = math.log(n) + d * math.log(h) + _log_norm("gaussian", d)
+        listed = ", ".join(f"{c} long" for c in cells)
+
+        def gather(batches):
+            def out(sums):
+                keys = np.array(list(sums)).reshape(-1, d)
+                return pa.RecordBatch.from_arrays([*[pa.array(k) for k in keys.T], pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=[*cells, "m"])
+
+            sums: dict = {}
+            for batch in batches:
+                c, z, w = _floats(batch, 0, d), _floats(batch, d, d), batch.column(2 * d).to_numpy(zero_copy_only=False)
+                v = z / h - (c + 0.5) * SIDE
+                for a, b in _runs(c, BLOCK):
+                    key = tuple(c[a].tolist())
+                    sums[key] = sums.get(key, 0.0) + cell_moments(v[a:b], w[a:b])
+                if len(sums) >= HELD:
+                    yield out(sums)
+                    sums = {}
+            if sums:
+                yield out(sums)
+
+        if self._moments is None:
+            self._moments = materialise(values.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(gather, f"{listed}, m binary"), "density-moments")
+
+        def pack(batches):
+            for batch in batches:
+                c = _floats(batch, batch.num_columns - d, d)
+                own = batch.select(batch.schema.names[:-d])
+                at = list(_runs(c, BLOCK))
+                yield pa.RecordBatch.from_arrays([*[pa.array([int(c[a, i]) for a, _ in at], pa.int64()) for i in range(d)], pa.array([_packed(own.slice(a, b - a)) for a, b in at], pa.binary())], names=[*cells, "batch"])
+
+        place = [c.alias(f"__c{i}") for i, c in enumerate(self._cells(df.columns[-d:])[1])]
+        placed = df.select("*", *place)
+        by = [F.col(f"__c{i}") for i in range(d)]
+        dealt = placed.repartitionByRange(*by, F.xxhash64(*placed.columns)).sortWithinPartitions(*by)
+        blocks = materialise(dealt.mapInArrow(pack, f"{listed}, batch binary"), "density-points")
+
+        tile = F.array(*[F.floor(F.col(c) / TILE) for c in cells]).alias("tile")
+        wanted = blocks.select(*cells).distinct().select(tile, *cells)
+        sent = self._moments
+        for i, c in enumerate(cells):
+            sent = sent.withColumn(f"t{i}", F.explode(F.sequence(F.floor((F.col(c) - reach) / TILE), F.floor((F.col(c) + reach) / TILE))))
+        sent = sent.select(F.array(*[f"t{i}" for i in range(d)]).alias("tile"), *cells, "m")
+
+        def move(there, here):
+            none = not (there.num_rows and here.num_rows)
+            want, have = (np.column_stack([t.column(c).to_numpy() for c in cells]) for t in (here, there))
+            got = [] if none else tile_coefficients(have, np.array([np.frombuffer(m.as_py()) for m in there.column("m")]), want, reach)
+            want = want[: len(got)]
+            return pa.table([*[pa.array(k) for k in want.T], pa.array([x.tobytes() for x in got], pa.binary())], names=[*cells, "m"])
+
+        local = sent.groupBy("tile").cogroup(wanted.groupBy("tile")).applyInArrow(move, f"{listed}, m binary")
+
+        def evaluate(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    points = _unpacked(row["batch"])
+                    v = (_floats(points, points.num_columns - d, d) - mean) / std / h - (np.array([row[c] for c in cells]) + 0.5) * SIDE
+                    with np.errstate(all="ignore"):
+                        s = cell_sums(v, np.frombuffer(row["m"])) if row["m"] else np.zeros(len(v))
+                        sure = s >= 0.5
+                        yield pa.RecordBatch.from_arrays([*points.columns, pa.array(np.log(np.where(sure, s, 1.0)) - less, pa.float64(), mask=~sure)], names=names)
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        scored = materialise(blocks.join(local, cells, "left").select(*cells, "batch", "m").mapInArrow(evaluate, f"{fields}, log_density double"), "density-scored")
+        discard(blocks)
+        far = scored.where(F.col("log_density").isNull()).drop("log_density")
+        if not far.take(1):
+            return scored
+        return scored.where(F.col("log_density").isNotNull()).unionAll(self._scored_far(far, values))
+
+    def _scored_far(self, df: DataFrame, values: DataFrame) -> DataFrame:
+        """_scored() of points far from all rows: each block of points meets the blocks of rows that may count beside its nearest."""
+        d, h, n, mean, std = len(self.columns), self._h, self._n, self.mean, self.std
+        ends = [f"{e}{i}" for i in range(d) for e in ("a", "b")]
+        boxed = ", ".join(f"{e} double" for e in ends)
+
+        def box(z):
+            return [x for i in range(d) for x in (float(np.fmin.reduce(z[:, i])), float(np.fmax.reduce(z[:, i])))]
+
+        def rows(batches):
+            at = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for a, b in _runs(_floats(batch, 0, d), BLOCK):
+                    z, w = _floats(batch, d, d)[a:b], batch.column(2 * d).to_numpy(zero_copy_only=False)[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, *box(z), z.tobytes(), w.tobytes())], names=["block", *ends, "z", "w"])
+                    at += 1
+
+        def dealt(table, cells):
+            near = table.select(*[F.floor(c / NEAR).alias(f"__c{i}") for i, c in enumerate(cells)], *table.columns)
+            by = [F.col(f"__c{i}") for i in range(d)]
+            return near.repartitionByRange(*by, F.xxhash64(*near.columns)).sortWithinPartitions(*by)
+
+        if self._blocks is None:
+            self._blocks = materialise(dealt(values.select(*[f"z{i}" for i in range(d)], "w"), [F.floor(F.col(f"z{i}") / F.lit(h * SIDE)) for i in range(d)]).mapInArrow(rows, f"block long, {boxed}, z binary, w binary"), "density-blocks")
+
+        def pack(batches):
+            at = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for a, b in _runs(_floats(batch, 0, d), FEW_POINTS):
+                    own = batch.slice(a, b - a).select(batch.schema.names[d:])
+                    z = (_floats(own, own.num_columns - d, d) - mean) / std
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, *box(z), _packed(own))], names=["points", *[f"p_{e}" for e in ends], "batch"])
+                    at += 1
+
+        points = materialise(dealt(df, self._cells(df.columns[-d:])[1]).mapInArrow(pack, f"points long, {', '.join(f'p_{e} double' for e in ends)}, batch binary"), "density-points")
+        least = lambda i: F.greatest(F.col(f"a{i}") - F.col(f"p_b{i}"), F.col(f"p_a{i}") - F.col(f"b{i}"), F.lit(0.0))
+        most = lambda i: F.greatest(F.col(f"b{i}") - F.col(f"p_a{i}"), F.col(f"p_b{i}") - F.col(f"a{i}"))
+        square = lambda of: sum((of(i) * of(i) for i in range(d)), F.lit(0.0))
+        met = materialise(points.drop("batch").crossJoin(self._blocks.select("block", *ends)).select("points", "block", square(least).alias("least"), square(most).alias("most")), "density-met")
+        nearest = met.groupBy("points").agg(F.min("most").alias("nearest"))
+        met = met.join(nearest, "points").where(F.col("least") <= F.col("nearest") * (1 + SLACK) + F.lit(2 * h * h * (math.log(n) + LOST))).select("points", "block")
+
+        def part(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    own, w = _unpacked(row["batch"]), np.frombuffer(row["w"])
+                    x = (_floats(own, own.num_columns - d, d) - mean) / std
+                    e = kde_log_density(x, np.frombuffer(row["z"]).reshape(-1, d), h, "gaussian", w) + math.log(w.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([row["points"]], pa.int64()), pa.array([e.tobytes()], pa.binary())], names=["points", "e"])
+
+        parts = met.join(points.select("points", "batch"), "points").join(self._blocks.select("block", "z", "w"), "block").select("points", "batch", "z", "w")
+        parts = parts.mapInArrow(part, "points long, e binary").groupBy("points").agg(F.sort_array(F.collect_list("e")).alias("parts"))
+        return self._added(df, points, parts)
+
+    def _added(self, df: DataFrame, packed: DataFrame, parts: DataFrame) -> DataFrame:
+        """Rows of packed blocks, with the sums of their parts."""
+        n, names = self._n, [*df.columns, "log_density"]
+
         def add(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    points = pa.ipc.open_stream(row["batch"]).read_next_batch()
+                    points = _unpacked(row["batch"])
                     e = np.logaddexp.reduce([np.frombuffer(x) for x in row["parts"]], axis=0) - math.log(n)
                     yield pa.RecordBatch.from_arrays([*points.columns, pa.array(e, pa.float64())], names=names)
 
-        packed = materialise(df.mapInArrow(pack, "points long, batch binary"), "density-points")
-        dealt = packed.repartition(spark.sparkContext.defaultParallelism, "points").crossJoin(blocks)
-        parts = dealt.select("points", "batch", "z").mapInArrow(part, "points long, e binary").groupBy("points").agg(F.sort_array(F.collect_list("e")).alias("parts"))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         return packed.join(parts, "points").select("batch", "parts").mapInArrow(add, f"{fields}, log_density double")
 

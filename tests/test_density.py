@@ -1,5 +1,7 @@
 """Density: kernels integrate to one, clusters follow the definition, mixtures behave."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,33 @@ def test_errors(spark, blobs):
     ):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_many_rows_by_cells(spark):
+    """All pairs of 150,000 rows would take minutes; the sums are those of all pairs."""
+    n = 150_000
+    table = spark.range(n).select("id", F.pow(F.col("id") / n, F.lit(2.0)).alias("x"), F.sin(F.col("id") * 0.37).alias("y"))
+    began = time.time()
+    got = {r.id: r.log_density for r in DensityEstimate(table, "id", ["x", "y"]).row_density().where("id % 5000 = 7").collect()}
+    assert time.time() - began < 60
+    i = np.arange(n)
+    z = np.column_stack([(i / n) ** 2, np.sin(i * 0.37)])
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    own = sorted(got)
+    assert len(own) == n // 5000 and [got[k] for k in own] == pytest.approx(list(kde_log_density(z[own], z, n ** (-1 / 6))), abs=1e-9)
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_far_points_and_copies(spark, d):
+    """Points beyond all kernels, rows far from the others, and rows of one value by the hundred."""
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(size=(300, d)), np.repeat([[2.5] * d], 400, axis=0), [[60.0] * d]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"x{k} double" for k in range(d)))
+    points = [(0, *[1e4] * d), (1, *[30.0] * d), (2, *[-8.0] * d), (3, *[2.5] * d), (4, *[60.0] * d), (5, *[None] * d)]
+    model = DensityEstimate(df, "id", bandwidth=0.05)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    at = (np.array([p[1:] for p in points[:5]]) - x.mean(axis=0)) / x.std(axis=0)
+    got = {r.id: r.log_density for r in model.score(spark.createDataFrame(points, df.schema)).collect()}
+    assert [got[k] for k in range(5)] == pytest.approx(list(kde_log_density(at, z, 0.05)), rel=1e-10, abs=1e-9) and np.isnan(got[5])
+    own = {r.id: r.log_density for r in model.row_density().collect()}
+    assert [own[k] for k in range(len(x))] == pytest.approx(list(kde_log_density(z, z, 0.05)), abs=1e-9)
