@@ -183,3 +183,35 @@ def test_intermediate_tables_go(spark):
     assert {r.component for r in connected_components(links).collect()} == {0}
     assert clean(spark) == 2  # the last round's and the one above
     assert not os.path.exists(kept._gaugewell_path) and os.path.isdir(shared_dir(spark))
+
+
+def test_copies_are_counted_as_classes(spark, monkeypatch):
+    """2,000 copies of each row: 10^7 pairs and more are counted from a few pairs of classes; expanded, they are those of the definition."""
+    from gaugewell.operators import near_dups
+
+    rows = [(k, float(k % 3 * 10 + k % 2 * 0.1), "ab"[k % 2 if k > 3 else 0], "xy"[k % 2], "pq"[k % 3 == 0]) for k in range(5)]
+    few, copies = spark.createDataFrame(rows, "k long, n double, c string, split string, label string"), 2000
+    df = few.crossJoin(spark.range(copies).select(F.col("id").alias("r"))).withColumn("id", F.col("k") + 5 * F.col("r")).drop("k", "r")
+    near = NearDuplicates(df, "id", ["n"], ["c"], split_col="split", label_col="label", threshold=0.97)
+    same = [(a, b) for a, b in itertools.combinations(rows, 2) if a[2] == b[2] and abs(a[1] - b[1]) / 20.1 <= 0.06]
+    cross = sum(copies * copies for a, b in same if a[3] != b[3])
+    whole = len(same) * copies * copies + 5 * copies * (copies - 1) // 2
+    assert same and cross and tuple(near.pairs_by_scope().first())[:2] == (whole - cross, cross) and near.summary().first().n_pairs == whole
+    assert near._counted().count() == len(same) + 5
+
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    small = df.where("id < 50")
+    got = NearDuplicates(small, "id", ["n"], ["c"], split_col="split", label_col="label", threshold=0.97).pairs().collect()
+    of = {r.id: r for r in small.collect()}
+    for p in got:
+        assert p.row_i < p.row_j and (p.split_i, p.split_j, p.label_i, p.label_j) == (of[p.row_i].split, of[p.row_j].split, of[p.row_i].label, of[p.row_j].label)
+    kept = {(a[0], b[0]) for a, b in same}
+    want = {(i, j) for i, j in itertools.combinations(range(50), 2) if i % 5 == j % 5 or tuple(sorted((i % 5, j % 5))) in kept}
+    assert len(got) == len(want) and {(p.row_i, p.row_j) for p in got} == want
+
+
+def test_near_repeated_ids(spark):
+    """Rows of one id don't pair with each other; each pairs with the rows of other ids."""
+    rows = [(1, 1.0, "a"), (1, 1.0, "a"), (1, 1.0, "b"), (2, 1.0, "a"), (None, 1.0, "a")]
+    near = NearDuplicates(spark.createDataFrame(rows, "id long, n double, c string"), "id", threshold=0.9)
+    assert [(r.row_i, r.row_j) for r in near.find_pairs().collect()] == [(1, 2), (1, 2)] and near.summary().first().n_pairs == 2
