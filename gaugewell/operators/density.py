@@ -42,6 +42,8 @@ NEAR, FEW_POINTS, HELD = 4, 256, 4096
 #: Parts of a cell's side, and what rounding may add to a length.
 CELL_PARTS = 4
 SLACK = 1e-9
+#: Pairs of rows that are compared at once; boxes of more are halved, so often at most.
+FEW_PAIRS, HALVINGS = 4_000_000, 40
 
 
 def _log_ball(d: int) -> float:
@@ -176,7 +178,8 @@ def dbscan(points: DataFrame, dims: list[str], eps: float, min_samples: int) ->
     within eps of each other: a cell of min_samples rows is all core and one region, and no
     pairs of its rows are made. Cells are joined where two of their parts, with core rows
     in both, lie within eps as a whole; rows are compared only between parts that may be
-    close, of cells that this leaves in different regions. The answer is exact.
+    close, of cells that this leaves in different regions, and only when these parts have
+    been halved until few pairs of rows are left open. The answer is exact.
     """
     if len(dims) > 3:
         return _dbscan_pairs(points, dims, eps, min_samples)
@@ -207,11 +210,8 @@ def dbscan(points: DataFrame, dims: list[str], eps: float, min_samples: int) ->
     named = least.join(found, "vertex", "left").select("cell", F.coalesce("component", "vertex").alias("component"))
     left, right = named.withColumnRenamed("cell", "l_cell"), named.select(F.col("cell").alias("r_cell"), F.col("component").alias("o_component"))
     apart = beside.where(maybe & ~sure).join(left, F.col("cell") == F.col("l_cell")).join(right, F.col("o_cell") == F.col("r_cell")).where("component <> o_component")
-    rows = core.select(*dims, F.col("cell").alias("p_cell"), F.col("part").alias("p_part"))
-    others = core.select(*[F.col(c).alias(f"o_{c}") for c in dims], F.col("cell").alias("q_cell"), F.col("part").alias("q_part"))
-    apart = apart.select("cell", "part", "o_cell", "o_part", "component", "o_component")
-    apart = apart.join(rows, (F.col("cell") == F.col("p_cell")) & (F.col("part") == F.col("p_part"))).join(others, (F.col("o_cell") == F.col("q_cell")) & (F.col("o_part") == F.col("q_part")))
-    more = materialise(apart.where(close).select("component", "o_component").distinct(), "dbscan-more")
+    apart = materialise(apart.select("cell", "part", "o_cell", "o_part", "component", "o_component"), "dbscan-apart")
+    more = materialise(_linked_apart(core.join(apart.select("cell").unionAll(apart.select("o_cell")).distinct(), "cell", "left_semi"), apart, dims, part, eps), "dbscan-more")
     if more.take(1):
         joined = connected_components(more, "component", "o_component").select(F.col("vertex").alias("v"), F.col("component").alias("whole"))
         named = named.join(joined, F.col("component") == F.col("v"), "left").select("cell", F.coalesce("whole", "component").alias("component"))
@@ -222,6 +222,43 @@ def dbscan(points: DataFrame, dims: list[str], eps: float, min_samples: int) ->
     return inside.select("id", "region").unionAll(border)
 
 
+def _linked_apart(core: DataFrame, apart: DataFrame, dims: list[str], width: float, eps: float) -> DataFrame:
+    """(component, o_component) of pairs of parts of a width of which some rows lie within eps of each other.
+
+    Rows of a part are a box. Boxes that lie within eps as a whole link, those farther apart
+    go, the others are halved in every dimension, but where their components are linked.
+    """
+    rows = core.select(F.concat("cell", "part").alias("box"), *dims).distinct()
+    pairs = apart.select(F.concat("cell", "part").alias("box"), F.concat("o_cell", "o_part").alias("o_box"), "component", "o_component")
+    other = lambda df: df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
+    square = lambda of: sum((of(c) * of(c) for c in dims), F.lit(0.0))
+    least = square(lambda c: F.greatest(F.col(f"a_{c}") - F.col(f"o_b_{c}"), F.col(f"o_a_{c}") - F.col(f"b_{c}"), F.lit(0.0)))
+    most = square(lambda c: F.greatest(F.col(f"b_{c}") - F.col(f"o_a_{c}"), F.col(f"o_b_{c}") - F.col(f"a_{c}")))
+    links = []
+    for level in range(1, HALVINGS + 1):
+        ends = [e for c in dims for e in (F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"))]
+        boxes = rows.groupBy("box").agg(F.count("*").alias("n"), *ends)
+        met = pairs.join(boxes, "box").join(other(boxes), "o_box").where(least <= (eps * (1 + SLACK)) ** 2)
+        met = materialise(met.select("box", "o_box", "component", "o_component", (F.col("n").cast("double") * F.col("o_n")).alias("pairs"), (most <= (eps * (1 - SLACK)) ** 2).alias("sure")), "dbscan-boxes")
+        links.append(met.where("sure").select("component", "o_component").distinct())
+        both = links[-1].unionAll(links[-1].select(F.col("o_component").alias("component"), F.col("component").alias("o_component"))).distinct()
+        pairs = met.where(~F.col("sure")).join(both, ["component", "o_component"], "left_anti")
+        n, left = pairs.agg(F.count("*"), F.sum("pairs")).first()
+        if not n or left <= max(FEW_PAIRS, 2 * n):
+            break
+        half = F.array(*[F.floor(F.col(c) / F.lit(width / 2**level)) for c in dims])
+        open_ = pairs.select("box").unionAll(pairs.select(F.col("o_box").alias("box"))).distinct()
+        rows = materialise(rows.join(open_, "box", "left_semi").select(F.col("box").alias("whole"), F.concat("box", half).alias("box"), *dims), "dbscan-rows")
+        parts, rows = rows.select("whole", "box").distinct(), rows.drop("whole")
+        pairs = pairs.select(F.col("box").alias("whole"), F.col("o_box").alias("o_whole"), "component", "o_component").join(parts, "whole").join(other(parts), "o_whole").select("box", "o_box", "component", "o_component")
+    close = F.sqrt(square(lambda c: F.col(c) - F.col(f"o_{c}"))) <= eps
+    links.append(pairs.join(rows, "box").join(other(rows), "o_box").where(close).select("component", "o_component"))
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionAll(more)
+    return out.distinct()
+
+
 def _dbscan_pairs(points: DataFrame, dims: list[str], eps: float, min_samples: int) -> DataFrame:
     """dbscan() over more dimensions: all pairs within eps are made.
 

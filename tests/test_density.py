@@ -146,3 +146,15 @@ def test_far_points_and_copies(spark, d):
     assert [got[k] for k in range(5)] == pytest.approx(list(kde_log_density(at, z, 0.05)), rel=1e-10, abs=1e-9) and np.isnan(got[5])
     own = {r.id: r.log_density for r in model.row_density().collect()}
     assert [own[k] for k in range(len(x))] == pytest.approx(list(kde_log_density(z, z, 0.05)), abs=1e-9)
+
+
+@pytest.mark.parametrize("gap, regions", [(1.002, 2), (0.999, 1)])
+def test_regions_that_nearly_touch(spark, gap, regions):
+    """Two dense regions whose nearest rows lie just within or beyond eps: their pairs of rows are 3.6 billion."""
+    n = 60_000
+    x = F.when(F.col("id") % 2 == 0, -F.col("id") * 1e-7).otherwise(F.lit(gap) + F.col("id") * 1e-7)
+    points = spark.range(2 * n).select("id", x.alias("x"), (F.col("id") % 7 * 1e-6).alias("y"))
+    began = time.time()
+    got = {r.region: r.n for r in dbscan(points, ["x", "y"], 1.0, 5).groupBy("region").agg(F.count("*").alias("n")).collect()}
+    assert time.time() - began < 90
+    assert got == ({0: n, 1: n} if regions == 2 else {0: 2 * n})
