@@ -114,12 +114,22 @@ def cell_moments(v: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def cell_sums(v: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
-    """The kernels' sums at points of a cell, from its coefficients."""
-    powers = [np.vander(x, ORDER, increasing=True) for x in v.T]
-    s = powers[0] @ coefficients if len(powers) == 1 else ((powers[0] @ coefficients.reshape(ORDER, ORDER)) * powers[1]).sum(axis=1)
+    """The kernels' sums at points of a cell, from its coefficients. Elementwise steps alone: equal points get equal sums, wherever they stand."""
+    s = coefficients.reshape(*[ORDER] * v.shape[1], 1)
+    for x in v.T.copy():
+        s = _polynomial(s, x)
     return s * np.exp(-0.5 * (v * v).sum(axis=1))
 
 
+def _polynomial(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """sum c[k] x^k."""
+    out = c[-1] * x
+    for k in range(len(c) - 2, 0, -1):
+        out += c[k]
+        out *= x
+    return out + c[0]
+
+
 def tile_coefficients(cells: np.ndarray, moments: np.ndarray, wanted: np.ndarray, reach: int) -> np.ndarray:
     """Coefficients of the wanted cells of a tile, all within TILE of each other, from moments of all cells within reach."""
     d, low = wanted.shape[1], wanted.min(axis=0)
@@ -313,6 +323,7 @@ class DensityEstimate(Analyzer):
         self._moments: DataFrame | None = None
         self._blocks: DataFrame | None = None
         self._density: DataFrame | None = None
+        self._counted: DataFrame | None = None
         self._regions: dict = {}
         self._quantiles: dict[float, float] = {}
 
@@ -346,7 +357,7 @@ class DensityEstimate(Analyzer):
         return self._model
 
     def _fit_whole(self) -> DataFrame:
-        """Blocks (z) of all rows' z-scores; sets mean, deviation, number and bandwidth."""
+        """Blocks (z) of all rows' z-scores, or their distinct values with numbers (w); sets mean, deviation, number and bandwidth."""
         d = len(self.columns)
         values = self.df.select(*[number(self.df, c).alias(f"x{i}") for i, c in enumerate(self.columns)])
         sums = values.agg(F.count("*"), *[F.avg(f"x{i}") for i in range(d)], *[F.stddev_pop(f"x{i}") for i in range(d)]).first()
@@ -361,7 +372,7 @@ class DensityEstimate(Analyzer):
             counted = values.groupBy(*values.columns).agg(F.count("*").cast("double").alias("w"))
             z, cells = self._cells(values.columns)
             named = [c.alias(f"c{i}") for i, c in enumerate(cells)] + [c.alias(f"z{i}") for i, c in enumerate(z)]
-            return materialise(counted.select(*named, "w"), "density-values")
+            return materialise(counted.select(*named, "w", *values.columns), "density-values")
 
         def run(batches):
             for batch in batches:
@@ -474,7 +485,8 @@ class DensityEstimate(Analyzer):
                 yield out(sums)
 
         if self._moments is None:
-            self._moments = materialise(values.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(gather, f"{listed}, m binary"), "density-moments")
+            own = values.select(*cells, *[f"z{i}" for i in range(d)], "w")
+            self._moments = materialise(own.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(gather, f"{listed}, m binary"), "density-moments")
 
         def pack(batches):
             for batch in batches:
@@ -667,15 +679,32 @@ class DensityEstimate(Analyzer):
             self._quantiles[q] = quantiles(self.row_density(), "log_density", [q])[0]
         return self._quantiles[q]
 
+    def _counted_density(self) -> DataFrame:
+        """log_density, w: densities, each of w rows. Equal rows are scored once, where their densities aren't known yet."""
+        if self._density is None and self._counted is None and self.method == "kde" and self.kernel == "gaussian" and len(self.columns) <= 2 and self.sample_for_fit is None:
+            values = self._fit()
+            self._counted = self._scored(values.select("w", *[f"x{i}" for i in range(len(self.columns))]), "").select("log_density", F.col("w").cast("long").alias("w"))
+        if self._counted is not None:
+            return self._counted
+        return self.row_density().select("log_density", F.lit(1).cast("long").alias("w"))
+
     def density_summary(self) -> DataFrame:
         """One row: method, n_rows, n_dims, log_density_min/max/mean/median, low_density_threshold (10 % quantile), pct_rows_low_density."""
-        x, low = F.col("log_density"), self._quantile(0.10)
-        return self.row_density().agg(
-            F.lit(self.method).alias("method"), F.count("*").alias("n_rows"), F.lit(len(self.columns)).alias("n_dims"),
-            F.min(x).alias("log_density_min"), F.max(x).alias("log_density_max"), F.avg(x).alias("log_density_mean"), F.lit(self._quantile(0.5)).alias("log_density_median"),
-            F.lit(low).alias("low_density_threshold"), (F.count_if(x < low) / F.count("*")).alias("pct_rows_low_density"),
+        own = self._counted_density()
+        low, median = quantiles(own, "log_density", [0.10, 0.5], "w")
+        x, w, n = F.col("log_density"), F.col("w"), F.sum("w")
+        return own.agg(
+            F.lit(self.method).alias("method"), n.alias("n_rows"), F.lit(len(self.columns)).alias("n_dims"),
+            F.min(x).alias("log_density_min"), F.max(x).alias("log_density_max"), (F.sum(x * w) / n).alias("log_density_mean"), F.lit(median).alias("log_density_median"),
+            F.lit(low).alias("low_density_threshold"), (F.sum(F.when(x < low, w).otherwise(0)) / n).alias("pct_rows_low_density"),
         )
 
+    def low_density_count(self) -> DataFrame:
+        """One row: n_rows, and n_low, the rows below the 10 % quantile."""
+        own = self._counted_density()
+        low = quantiles(own, "log_density", [0.10], "w")[0]
+        return own.agg(F.sum("w").alias("n_rows"), F.sum(F.when(F.col("log_density") < low, F.col("w")).otherwise(0)).alias("n_low"))
+
     def low_density_regions(self, threshold="auto", eps: float | None = None, min_samples: int = 5) -> DataFrame:
         """Clusters of the rows below the threshold ('auto': the 10 % quantile): region_id, n_points, mean_log_density, centroid, radius."""
         return self._region("low", threshold, eps, min_samples)

@@ -33,8 +33,8 @@ def groups_by_conflict(dups) -> DataFrame:
 
 def low_density_share(density) -> DataFrame:
     """part, rows: rows below and above the low-density threshold."""
-    s = density.density_summary().select((F.col("n_rows") * F.col("pct_rows_low_density")).cast("long").alias("low"), "n_rows")
-    return s.select(F.explode(F.array(_part("low_density", F.col("low")), _part("others", F.col("n_rows") - F.col("low")))).alias("x")).select("x.*")
+    n, low = F.col("n_rows"), F.col("n_low")
+    return density.low_density_count().select(F.explode(F.array(_part("low_density", low), _part("others", n - low))).alias("x")).select("x.*")
 
 
 def density_2d(density, dims, resolution: int = 100, max_points: int = 2000, seed: int = 0) -> dict[str, DataFrame]:

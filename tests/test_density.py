@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugewell.operators.density import KERNELS, DensityEstimate, dbscan, gmm_log_density, kde_log_density
+from gaugewell import plotdata
+from gaugewell.operators.density import KERNELS, ORDER, DensityEstimate, cell_sums, dbscan, gmm_log_density, kde_log_density
+from gaugewell.plans.ranking import quantiles
 
 
 @pytest.mark.parametrize("kernel", KERNELS)
@@ -158,3 +160,46 @@ def test_regions_that_nearly_touch(spark, gap, regions):
     got = {r.region: r.n for r in dbscan(points, ["x", "y"], 1.0, 5).groupBy("region").agg(F.count("*").alias("n")).collect()}
     assert time.time() - began < 90
     assert got == ({0: n, 1: n} if regions == 2 else {0: 2 * n})
+
+
+@pytest.mark.parametrize("copies", [[1] * 149, [9] * 20, [2, 5, 400]])
+def test_low_density_share_counts_rows(spark, copies):
+    """Whole numbers of rows, and copies of the row at the threshold are all above it."""
+    x = np.repeat(np.arange(len(copies)) ** 1.5, copies)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double").repartition(3)
+    model = DensityEstimate(df, "id", ["x"])
+    got = {r.part: r.rows for r in plotdata.low_density_share(model).collect()}
+    z = ((x - x.mean()) / x.std())[:, None]
+    density = np.round(kde_log_density(z, z, len(x) ** -0.2), 9)
+    place = 0.1 * (len(x) - 1)
+    a, b = np.sort(density)[[int(place), int(np.ceil(place))]]
+    low = int((density < (a if a == b else a + (place - int(place)) * (b - a))).sum())
+    assert got == {"low_density": low, "others": len(x) - low}
+    s = model.density_summary().first()
+    assert (s.n_rows, s.pct_rows_low_density) == (len(x), low / len(x))
+    assert (s.log_density_min, s.log_density_mean, s.log_density_median) == pytest.approx((density.min(), density.mean(), np.median(density)), abs=1e-8)
+    model.row_density()
+    model._counted = None  # by rows, as where the rows' densities are known
+    assert {r.part: r.rows for r in plotdata.low_density_share(model).collect()} == got
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_equal_points_get_equal_sums(d):
+    rnd = np.random.default_rng(0)
+    for n in range(1, 40):
+        point, c = rnd.uniform(-0.25, 0.25, (1, d)), rnd.normal(size=ORDER**d)
+        assert set(cell_sums(np.repeat(point, n, axis=0), c)) == set(cell_sums(point, c))
+
+
+def test_quantiles_of_copies_and_weights(spark):
+    """Between equal values lies that value, to the last place; weights count as copies."""
+    rnd = np.random.default_rng(1)
+    values = [-float(v) for v in rnd.random(3) * 8]
+    shares = [float(s) for s in rnd.random(300) * 0.3]
+    df = spark.createDataFrame([(v, 1000) for v in values], "x double, w long")
+    assert set(quantiles(df, "x", shares, "w")) == {min(values)}
+    weights = rnd.integers(1, 9, 50)
+    x = rnd.normal(size=50)
+    df = spark.createDataFrame([(float(v), int(w)) for v, w in zip(x, weights)], "x double, w long")
+    shares = [0.0, 0.1, 0.37, 0.5, 1.0]
+    assert quantiles(df, "x", shares, "w") == pytest.approx(list(np.quantile(np.repeat(x, weights), shares)), abs=1e-12)
