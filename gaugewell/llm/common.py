@@ -58,6 +58,11 @@ def lowers(spec: dict) -> bool:
     return any(n.get("type") == "Lowercase" for n in norm.get("normalizers", [norm]))
 
 
+def strings(column: pa.Array) -> list[str]:
+    """Strings of a column without nulls, some ten times as fast as to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkValues:
     """Values of texts' chunks (what ASCII white space separates), computed once per chunk.
 
@@ -75,22 +80,27 @@ class ChunkValues:
         self.known: dict[str, object] = {}
 
     def _plain(self, text: str) -> str:
-        if not self.lower or self._OTHER.search(text):
+        if not self.lower or (not text.isascii() and self._OTHER.search(text)):
             return text
         low = text.lower()
         return text if any(s in low for s in self.specials) else low
 
+    def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct chunks, the number of each chunk among them, and where each text's chunks begin (one more entry than texts)."""
+        split = pc.ascii_split_whitespace(pa.array([self._plain(t) for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+
     def __call__(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
         """Values of the distinct chunks, the number of each chunk's value, and where each text's chunks begin (one more entry than texts)."""
         if len(self.known) > self.most:
             self.known = {}
-        split = pc.ascii_split_whitespace(pa.array([self._plain(t) for t in texts], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks, which, starts = self.split(texts)
+        chunks = strings(chunks)
         new = [c for c in chunks if c not in self.known]
         if new:
             self.known.update(zip(new, self.value(new, self.known)))
-        return list(map(self.known.__getitem__, chunks)), coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+        return list(map(self.known.__getitem__, chunks)), which, starts
 
 
 def few_at_once(texts: list[str], most_chars: int = 4_000_000):

@@ -55,6 +55,60 @@ def test_token_files_empty(spark, empty):
     assert token_files.read(spark, path).count() == 0
 
 
+def test_words_and_tails_are_encoded_once(library, monkeypatch):
+    """A word goes to the library once, whatever punctuation follows it, and a tail once whatever word it follows."""
+    import tokenizers
+
+    given_ = []
+
+    class Counting:
+        def __init__(self, own):
+            self.__dict__["own"] = own
+
+        @staticmethod
+        def from_str(spec):
+            return Counting(type(library).from_str(spec))
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        def encode_batch_fast(self, texts, **how):
+            given_.extend(w for t in texts for w in t.split())
+            return self.own.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    monkeypatch.setattr(token_files, "_ENCODERS", {})
+    words = [a + b for a in ("straße", "on", "the", "größ", "ción") for b in ("", "ing", "ed", "ñ", "wh", "zu")]
+    tails = [".", ",", "!!", "###", "$$$", ",%%%", "'", "'.", "(", "...", "\"", "_"]
+    texts = [" ".join(w + t for w in words) for t in tails]
+    _, _, encode = token_files._encoder(read_tokenizer())
+    encode(texts[:6]), encode(texts)
+    assert len(given_) <= len(words) + len(tails) + 4
+    texts += [
+        "it's can't' o's. 's x's word's!! a'sb the'", "the<|endoftext|>the on|> on<| <|startoftext|>on. the<", "The ON. İstanbul on!! Σas ΣΑΣ. ǅon.", "e\u0301on. on\u0301. on.\u0301 on=\u0338 \u0301on!!",
+        "on.the on,,the a1. 1a. 12,on on.1 -on- _on_ ..on..", " on.\x1con!\x85the.\u2003ed, \u00a0on.\u00a0", "", " . ", "中on. on中. ßé÷. ×on. µ. ªº.", "on" * 9000 + "!!", "!" * 9000,
+    ]
+    ids, at = encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(library, t) for t in texts]
+
+
+@pytest.mark.parametrize("special", ["on.", "##", "e!", "the"])
+def test_added_tokens_hold_within_chunks(special):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(read_tokenizer())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49408, "content": special})
+    spec = json.dumps(spec)
+    texts = ["the on. on.. on.! the## on### the! the!! breathe! on## # . on, ed.", "soon. other the"]
+    ids, at = token_files._encoder(spec)[2](texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(Tokenizer.from_str(spec), t) for t in texts]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 @settings(max_examples=50, deadline=None)
 def test_pack_round_trip(values):
